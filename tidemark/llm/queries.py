@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, media, mixing, packing, simhash
+from . import chat, common, media, mixing, packing, simhash, substring, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -14,6 +14,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(common.read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,6 +45,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_media_columns, op7_simhash, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op5_packing, op6_media_columns, op7_simhash, op9_chat_format, op10_mixing)}
 
 ORACLE_SQL = {"op10_mixing": mixing.ORACLE}
