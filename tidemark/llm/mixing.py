@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-STEPS = 4096
+STEPS, SALTS = 4096, 32
 #: Weights of the sources, by code point of their names, repeated.
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2.0
@@ -87,8 +87,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
 
 def _taken(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    limits = limits.withColumnRenamed("source", "_s")
-    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("_s")))
+    # A hot source is spread over SALTS keys; the limits, a row a source, are repeated for each.
+    limits = limits.withColumnRenamed("source", "_s").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("draw") % SALTS == F.col("_salt")))
     return joined.withColumn("copies", F.col("copies") + (F.col("draw") < F.col("below")).cast("long"))
 
 

@@ -14,6 +14,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 from collections.abc import Iterable
 
@@ -31,47 +32,108 @@ PACKED = PIECE + ", sequence_id long, offset long"
 GROUP_PIECES = 2048
 
 #: Distinct words that a worker keeps with their ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+
+#: Signs that a tokenizer cuts from the letters before them.
+SIGNS = ".,;:!?%#$&*()[]|\""
+
+
+class _Table:
+    """Rows of ids of any length, in flat arrays; row 0 is empty."""
+
+    def __init__(self):
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def extend(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.start[rows] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
+
+
+class _Rows(dict):
+    """Numbers words from 1 as they come, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        n = self[word] = len(self) + 1
+        return n
 
 
 class WordIds:
     """Token ids of whole texts, from a cache of the ids of each distinct word.
 
-    Right for tokenizers that drop white space and never join what it separates.
+    Right for tokenizers that drop white space, never join what it separates, and cut
+    between letters and the signs that follow them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.row = _Rows()
+        self.words = _Table()
+        self.part: dict[str, int] = {"": 0}
+        self.parts = _Table()
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        """Parts that are all letters are encoded many to a text: their last ids tell where each ends."""
+        letters = [p for p in parts if p.isalpha() and p.lower().isalpha()]
+        for k in range(0, len(letters), 4096):
+            some = letters[k : k + 4096]
+            joined = [" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
+            ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):  # a part of several pieces: one by one below
+                continue
+            self.part.update(zip(some, range(len(self.part), len(self.part) + len(some))))
+            self.parts.extend(ids, np.diff(np.concatenate([[0], ends])))
+        rest = [p for p in parts if p not in self.part]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self.part.update(zip(rest, range(len(self.part), len(self.part) + len(rest))))
+        self.parts.extend(np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in got]
-        n, size = len(self.row), np.fromiter(map(len, ids), np.int64, len(ids))
-        self.row.update(zip(words, range(n, n + len(words))))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        split = []
+        for w in words:
+            word = w.decode()
+            stem = word.rstrip(SIGNS)
+            if stem.isalpha():
+                split += (stem.lower() if stem.isascii() else stem, word[len(stem) :])
+            else:
+                split += (word, "")
+        if new := set(split).difference(self.part):
+            self._learn_parts(new)
+        ids, size = self.parts.gather(np.fromiter(map(self.part.__getitem__, split), np.int64, len(split)))
+        self.words.extend(ids, size.reshape(-1, 2).sum(1))
 
     def encode(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        split = [t.split() for t in texts]
+        # The tokenizer lowers letters itself, but not within its special strings.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = common.flat(split)
         if len(self.row) > CACHE_WORDS:
             self.clear()
-        if new := set(words).difference(self.row):
-            self._learn(sorted(new))
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-        size = self.size[rows]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[rows] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])
+        if self.row.new:
+            self._learn(self.row.new)
+            self.row.new = []
+        ids, size = self.words.gather(rows)
+        upto = np.concatenate([[0], np.cumsum(size)])
         word_ends = np.cumsum([len(w) for w in split])
         return ids, np.diff(upto[np.concatenate([[0], word_ends]).astype(np.int64)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, media, mixing, packing, simhash, substring, toxicity
+from . import chat, common, licenses, maxscore, media, mixing, packing, resample, simhash, substring, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +22,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(common.read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.read(spark, sf_dir, "documents"))
+
+
+def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.sample(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -34,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(common.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
@@ -45,6 +57,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.read(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op5_packing, op6_media_columns, op7_simhash, op9_chat_format, op10_mixing)}
-
-ORACLE_SQL = {"op10_mixing": mixing.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_substring_dedup,
+        op3_license_scan,
+        op4_quality_resample,
+        op5_packing,
+        op6_media_columns,
+        op7_simhash,
+        op8_maxscore,
+        op9_chat_format,
+        op10_mixing,
+    )
+}
+
+#: For the others SQL has no form; tests hold them against brute force, round trips or held-out labels.
+ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op8_maxscore": maxscore.ORACLE, "op10_mixing": mixing.ORACLE}
