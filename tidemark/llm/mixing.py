@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-STEPS, SALTS = 4096, 32
+STEPS, SALTS, BROADCAST_SOURCES = 4096, 32, 10_000
 #: Weights of the sources, by code point of their names, repeated.
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2.0
@@ -82,14 +82,19 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: flo
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document."""
     rows = common.checkpoint(sized(docs, "doc_id").select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), draw().alias("draw")))
-    limits = thresholds(rows, weights, budget, cap)
+    limits = common.checkpoint(thresholds(rows, weights, budget, cap))
     return _taken(rows, limits).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def _taken(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    # A hot source is spread over SALTS keys; the limits, a row a source, are repeated for each.
-    limits = limits.withColumnRenamed("source", "_s").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = rows.join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("draw") % SALTS == F.col("_salt")))
+    """rows with the limits of their source, and how often each is taken; limits are a checkpointed table."""
+    limits = limits.withColumnRenamed("source", "_s")
+    same = F.col("source").eqNullSafe(F.col("_s"))
+    if limits.count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(limits), same)
+    else:  # a hot source is spread over SALTS keys; the limits, a row a source, are repeated for each
+        limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = rows.join(limits, same & (F.col("draw") % SALTS == F.col("_salt"))).drop("_salt")
     return joined.withColumn("copies", F.col("copies") + (F.col("draw") < F.col("below")).cast("long"))
 
 

@@ -161,11 +161,12 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed:
 
 
 def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The documents without the near-duplicates of another: of each component, the rows of the smallest doc_id, and of those with that id one each.
+    """The documents without the near-duplicates of another: of each component the document with the smallest doc_id stays.
 
-    Rows without a doc_id stay if their component has no other.
+    Rows that share a doc_id are told apart by their texts only: of equal ones one stays.
+    Rows without a doc_id stay if their component has none.
     """
     found = near_duplicates(docs.select("doc_id", "text"), distance, shingle, seed)
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    stay = common.checkpoint(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count())
+    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept if stay.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
