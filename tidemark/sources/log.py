@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.ids import format_tag, name_uuid
 from tidemark.model import START, EventFilter, ReadCursor
 
-POSITION = F.col("sequence_number")
-
 
 @dataclass
 class ProjectionRead:
@@ -47,7 +45,7 @@ class EventLog:
 
     def read_from(self, position: int = 0, f: EventFilter = EventFilter(), most: int | None = None) -> DataFrame:
         """Events after a position, by position; nothing is withheld."""
-        out = self.matching(f).where(POSITION > position).orderBy(POSITION)
+        out = self.matching(f).where(F.col("sequence_number") > position).orderBy("sequence_number")
         return out if most is None else out.limit(most)
 
     def read_by_position(self, after: int, f: EventFilter, most: int | None = None) -> ProjectionRead:
@@ -65,7 +63,7 @@ class EventLog:
     def after(cursor: ReadCursor) -> Column:
         """Written out, so that it reaches the scan."""
         group = F.col("commit_group")
-        return (group > cursor.commit_group) | ((group == cursor.commit_group) & (POSITION > cursor.position))
+        return (group > cursor.commit_group) | ((group == cursor.commit_group) & (F.col("sequence_number") > cursor.position))
 
     def delivery(self, cursor: ReadCursor = START, f: EventFilter = EventFilter(), most: int | None = None) -> DataFrame:
         out = self.matching(f).where(self.after(cursor) & (F.col("commit_group") < self.visible_below)).orderBy("commit_group", "sequence_number")
@@ -82,7 +80,7 @@ class EventLog:
         """The cursor of the nearest event at or before a position."""
         if position <= 0:
             return START
-        last = self.rows.where(POSITION <= position).agg(F.max(F.struct("sequence_number", "commit_group")).alias("x")).first().x
+        last = self.rows.where(F.col("sequence_number") <= position).agg(F.max(F.struct("sequence_number", "commit_group")).alias("x")).first().x
         return ReadCursor(last.commit_group, last.sequence_number) if last else START
 
     def revision(self, f: EventFilter = EventFilter()) -> DataFrame:

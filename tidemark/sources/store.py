@@ -18,7 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -187,6 +187,24 @@ class Store:
     def _add(self, m: Manifest, name: str, df: DataFrame) -> None:
         m.tables.setdefault(name, []).append(self._write(df, name))
 
+    def _staged(self, df: DataFrame) -> DataFrame:
+        """df as written: whatever in it was chosen at run time is fixed."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self._write(df, 'staged')}")
+
+    @staticmethod
+    def _marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("part", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
+
+    @staticmethod
+    def _dense(marked: DataFrame, first: int) -> tuple[Column, int]:
+        """Numbers without gaps from `first` in the order of the marks, and how many; from the count of each partition."""
+        shifts, total = {}, 0
+        for r in marked.groupBy("part").agg(F.count("*").alias("n"), F.min("mono").alias("m")).orderBy("part").collect():  # a row a partition
+            shifts[r.part] = first + total - r.m
+            total += r.n
+        shift = F.element_at(F.create_map(*(F.lit(x).cast("long") if i % 2 else F.lit(x) for kv in shifts.items() for i, x in enumerate(kv))), F.col("part")) if shifts else F.lit(0)
+        return (shift + F.col("mono")).cast("long"), total
+
     # -- appending
 
     def append(self, pending: DataFrame, f: EventFilter | None = None, expected: int | None = None, messages: DataFrame | None = None) -> DataFrame:
@@ -202,7 +220,7 @@ class Store:
             pending = pending.withColumn("ordinal", F.monotonically_increasing_id())
         named = pending.withColumn("event_id", F.coalesce("event_id", F.expr("uuid()")))
         # Ids and order are fixed by writing them; whatever is retried reads the same.
-        staged = self.spark.read.schema(named.schema).parquet(f"{self.root}/{self._write(named, 'staged')}")
+        staged = self._staged(named)
         empty, no_messages = staged.isEmpty(), messages is None or messages.isEmpty()
         if empty and no_messages:
             return self.spark.createDataFrame([], LOG)
@@ -224,16 +242,10 @@ class Store:
     def _add_events(self, now: Snapshot, m: Manifest, staged: DataFrame) -> DataFrame:
         firsts = staged.groupBy("event_id").agg(F.min("ordinal").alias("ordinal"))
         old = now.table("log").join(firsts.select("event_id"), "event_id", "left_semi").select("event_id", F.col("sequence_number").alias("old_position"), F.col("recorded_at").alias("old_time"))
-        known = self.spark.read.schema(old.schema).parquet(f"{self.root}/{self._write(old, 'staged')}")
-        # Ordinals become dense numbers by the count of each partition of the range of ordinals.
-        fresh = firsts.join(known, "event_id", "left_anti").repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("part", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
-        placed = self.spark.read.schema(fresh.schema).parquet(f"{self.root}/{self._write(fresh, 'staged')}")
-        offsets, total = {}, 0
-        for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.min("mono").alias("m"), F.min("ordinal").alias("o")).orderBy("o").collect():  # a row a partition
-            offsets[r.part] = total - r.m
-            total += r.n
-        shift = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("part")) if offsets else F.lit(0)
-        placed = placed.select("event_id", (F.lit(m.next_position) + shift + F.col("mono")).cast("long").alias("new_position"))
+        known = self._staged(old)
+        placed = self._staged(self._marked(firsts.join(known, "event_id", "left_anti").repartitionByRange("ordinal").sortWithinPartitions("ordinal")))
+        number, total = self._dense(placed, m.next_position)
+        placed = placed.select("event_id", number.alias("new_position"))
         m.next_position += total
         rows = staged.join(known, "event_id", "left").join(placed, "event_id", "left")
         first = rows.join(firsts, ["event_id", "ordinal"], "left_semi")
@@ -251,7 +263,7 @@ class Store:
             "ordinal",
             F.col("old_position").isNull().alias("inserted"),
         )
-        out = self.spark.read.schema(log.schema).parquet(f"{self.root}/{self._write(log, 'staged')}")
+        out = self._staged(log)
         new = out.where("inserted").join(first.select("event_id", "ordinal"), ["event_id", "ordinal"], "left_semi")
         names = [f.name for f in LOG.fields]
         self._add(m, "log", new.select(*names))
@@ -261,12 +273,10 @@ class Store:
         return out.orderBy("ordinal").select(*names)
 
     def _add_messages(self, m: Manifest, messages: DataFrame) -> None:
-        numbered = messages.select(*(x.split()[0] for x in MESSAGE.split(", "))).withColumn("mono", F.monotonically_increasing_id())
-        path = self._write(numbered, "staged")
-        staged = self.spark.read.schema(numbered.schema).parquet(f"{self.root}/{path}")
-        first, last = staged.agg(F.min("mono"), F.max("mono")).first()
-        self._add(m, "message_outbox", staged.select((F.col("mono") - first + m.next_message).alias("id"), "topic", "key", "payload", "headers"))
-        m.next_message += last - first + 1
+        staged = self._staged(self._marked(messages.select(*(x.split()[0] for x in MESSAGE.split(", ")))))
+        number, total = self._dense(staged, m.next_message)
+        self._add(m, "message_outbox", staged.select(number.alias("id"), "topic", "key", "payload", "headers"))
+        m.next_message += total
 
     def enqueue(self, messages: DataFrame) -> None:
         if not messages.isEmpty():
