@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Known sentences in normal form; `#` is a year or years and a holder, `*` any words.
+# Known sentences in normal form; `#` is a year or years and a holder in one line, `*` any words.
 SENTENCES = {
     "copyright": "copyright #",
     "rights": "all rights reserved",
@@ -99,7 +99,7 @@ DOUBLED = ((" | ", " | | "), (" / ", " / / "))
 def pattern(sentence: str) -> str:
     """A normal-form sentence as a regular expression; a line may break between words."""
     gap = "(?: / /)? "
-    parts = {"#": f"(?:c{gap})?[0-9]{{4}}(?:{gap}[a-z0-9]+)*", "*": f"[a-z0-9]+(?:{gap}[a-z0-9]+)*"}
+    parts = {"#": "(?:c )?[0-9]{4}(?: [a-z0-9]+)*", "*": f"[a-z0-9]+(?:{gap}[a-z0-9]+)*"}
     return gap.join(parts.get(w, w) for w in sentence.split())
 
 

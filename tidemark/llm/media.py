@@ -208,7 +208,7 @@ def containers(docs: DataFrame) -> DataFrame:
 def media_columns(media: DataFrame) -> DataFrame:
     """Adds codec, kind, timescale, duration, samples and keyframe byte ranges of the first track to a table with a binary column `media`.
 
-    A null or broken container has null columns.
+    A null or broken container has null columns. Columns of those names that the table has are replaced.
     """
 
     def one(data: bytes | None) -> dict | None:
@@ -225,7 +225,8 @@ def media_columns(media: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in MEDIA.split(", ")]
         return pd.DataFrame([one(x) or dict.fromkeys(names) for x in media], columns=names)
 
-    return media.withColumn("track", columns("media")).select("*", "track.*").drop("track")
+    new = [x.split()[0] for x in MEDIA.split(", ")]
+    return media.select(*(c for c in media.columns if c not in new), columns("media").alias("_track")).select("*", "_track.*").drop("_track")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

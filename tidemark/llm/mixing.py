@@ -40,11 +40,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float
     per = per.withColumn("most", F.col("source_size") * F.lit(float(cap)))
     per = per.withColumn("ratio", F.col("most") / F.col("weight"))
     whole = Window.partitionBy(F.lit(0))
-    before = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    rising = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").asc_nulls_last())
+    before = rising.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("nth", F.row_number().over(rising))
     per = per.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(budget)))
     per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
     # The level of the rest: the first that its own source does not pass.
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))).over(whole)
     per = per.withColumn("final", first["level"])
     target = F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("final") * F.col("weight")))
     return per.select("source", "source_size", "weight", target.alias("target"))
@@ -100,9 +102,7 @@ def _taken(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with the columns it came with."""
-    named = ["doc_id", "source", "text"]
-    rows = docs.withColumn("_row", F.struct(*docs.columns))
-    rows = rows.select("_row", *named)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
     sizes = sized(rows, "_row", "doc_id").select("_row", F.col("_source").alias("source"), F.col("_size").alias("size"), draw().alias("draw"))
     limits = common.checkpoint(thresholds(sizes.drop("_row"), weights, budget, cap))
     taken = _taken(sizes, limits).where("copies > 0")

@@ -56,13 +56,15 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = 3, seed: int = 42)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, tag (a hash that tells texts apart) and fp, the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts, shingle, seed).view(np.int64))], ["doc_id", "fp"])
+        fp = fingerprints_of(texts, shingle, seed).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fp)], ["doc_id", "tag", "fp"])
 
     common.prepare(docs.sparkSession)
-    return common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(common.per_chunk(run), "doc_id long, fp long")
+    tagged = common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
+    return tagged.mapInArrow(common.per_chunk(run), "doc_id long, tag long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -149,24 +151,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id that links reach) of every document."""
+def linked(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, tag, fp, root (the smallest fingerprint that links reach), component_id of every document."""
     rows = common.table(fingerprints(docs, shingle, seed))
     per = common.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(per.select("fp"), distance))
     rooted = per.join(roots, per.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(rooted.join(of_root, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint, component_id (the smallest doc_id that links reach) of every document."""
+    found = linked(docs, distance, shingle, seed)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """The documents without the near-duplicates of another: of each component the document with the smallest doc_id stays.
+    """The documents without the near-duplicates of another: of each component one document with the smallest doc_id stays.
 
-    Rows that share a doc_id are told apart by their texts only: of equal ones one stays.
-    Rows without a doc_id stay if their component has none.
+    A document without a doc_id stays only if its component has none that has one.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), distance, shingle, seed)
-    stay = common.checkpoint(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count())
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    found = common.table(linked(docs.select("doc_id", "text"), distance, shingle, seed).where("doc_id <=> component_id"))
+    stay = common.checkpoint(found.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("tag").alias("_tag")))
+    rows = found.join(stay.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & (F.col("tag") == F.col("_tag")))
+    stay = common.checkpoint(rows.groupBy("_id", "_tag").count())
+    same = docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"].cast("string")) == stay["_tag"])
+    kept = docs.join(stay, same, "left_semi")
+    # Only rows that are the same in id and text are left to tell apart.
     return kept if stay.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])

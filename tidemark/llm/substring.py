@@ -341,9 +341,10 @@ def digests(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
 
 def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The documents without their repeated windows; a text that loses words has the others joined by one space."""
-    found = _with_places(docs, window, rounds)
-    schema = docs.select(*(c for c in docs.columns if c != "text"), F.col("text").cast("string").alias("text")).schema
-    names = schema.names
+    rest = [c for c in docs.columns if c != "text"]
+    # All other columns travel in one, so that no name can clash.
+    boxed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*rest).alias("box"), F.col("text").cast("string").alias("text"))
+    schema = boxed.select("box", "text").schema
 
     def run(batches):
         for whole in batches:
@@ -352,7 +353,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 for text, places in zip(_unzipped(b), _places(b)):
                     words, kept = _kept(text, places, window)
                     texts.append(text if text is None or len(kept) == len(words) else b" ".join(kept))
-                b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.string()))
-                yield b.select(names)
+                yield pa.RecordBatch.from_arrays([b.column("box"), pa.array(texts, pa.binary()).cast(pa.string())], ["box", "text"])
 
-    return found.mapInArrow(run, schema).select(*docs.columns)
+    found = _with_places(boxed, window, rounds).mapInArrow(run, schema)
+    return found.select(*(F.col("text") if c == "text" else F.col(f"box.`{c}`") for c in docs.columns))

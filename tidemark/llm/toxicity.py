@@ -8,7 +8,8 @@ offsets (code points) and, summed up, the document score, which is calibrated on
 training documents that the field has not seen.
 
 Bounds: training takes at most TRAIN_DOCS labelled documents of each class, in the order
-of a hash of their ids, and TRAIN_BYTES of text; scoring has no bound.
+of a hash of their ids, TRAIN_BYTES of text, and TRAIN_SENTENCES sentences with and
+without signs, of at most LONGEST words; scoring has no bound.
 
 Defined results: a null or empty text has no tokens and the score that follows from that; a
 null doc_id is scored, is not held out and never trains; repeated rows score alike;
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRAIN_DOCS, TRAIN_BYTES, TRAIN_SENTENCES = 2500, 48 << 20, 8000
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_SENTENCES, LONGEST = 2500, 48 << 20, 8000, 2000
 SLOTS = 1 << 18
 CACHE_WORDS = 300_000
 ENDS = (".", "!", "?")
@@ -170,18 +171,38 @@ def tag(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
 # --- training ---------------------------------------------------------------
 
 
-def evident(texts: list[list[str]], toxic: list[int], least: int = 4, odds: float = 2.5) -> set[str]:
+def evident(texts: list[str], toxic: list[int], least: int = 4, odds: float = 2.5) -> set[str]:
     """Features whose share among toxic documents is far above that among clean ones."""
     n = [max(1, toxic.count(k)) for k in (0, 1)]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for words, label in zip(texts, toxic):
-        seen[label].update({f for w in {bare(x) for x in words} if w for f in features(w)})
-    out = set()
-    for f, hits in seen[1].items():
-        clean = seen[0][f]
-        if hits >= least and np.log((hits + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1)) >= odds and hits / n[1] > 4 * np.sqrt((clean + 1) / n[0] / n[1]):
-            out.add(f)
-    return out
+
+    def of(text: str) -> set[str]:
+        return {f for w in {bare(x) for x in text.lower().split()} if w for f in features(w)}
+
+    hits: Counter = Counter()
+    for text, label in zip(texts, toxic):
+        if label:
+            hits.update(of(text))
+    hits = Counter({f: k for f, k in hits.items() if k >= least})
+    clean: Counter = Counter()
+    for text, label in zip(texts, toxic):
+        if not label:
+            clean.update(f for f in of(text) if f in hits)
+
+    def far_above(f: str) -> bool:
+        ratio = np.log((hits[f] + 0.5) / (n[1] + 1)) - np.log((clean[f] + 0.5) / (n[0] + 1))
+        return ratio >= odds and hits[f] / n[1] > 4 * np.sqrt((clean[f] + 1) / n[0] / n[1])
+
+    return set(filter(far_above, hits))
+
+
+def sentences(text: str):
+    words = text.lower().split()
+    start = 0
+    for k, w in enumerate(words, 1):
+        if w.endswith(ENDS) or k == len(words):
+            if k - start <= LONGEST:
+                yield words[start:k]
+            start = k
 
 
 def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.4, decay: float = 1e-5) -> Field:
@@ -190,30 +211,34 @@ def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.
     field = Field(zero, zero.copy(), zero.copy(), np.zeros((2, 2)), 0.0, np.zeros(4), (sum(toxic) + 1) / (n + 2))
     if len(set(toxic)) < 2:
         return field
-    split = [t.lower().split() for t in texts]
     fit = [i for i in range(n) if i % 10 < 6]  # the others calibrate
-    signs = evident([split[i] for i in fit], [toxic[i] for i in fit])
+    signs = evident([texts[i] for i in fit], [toxic[i] for i in fit])
     is_sign: dict[str, bool] = {}
 
     def sign(word: str) -> bool:
         if word not in is_sign:
+            if len(is_sign) > CACHE_WORDS:
+                is_sign.clear()
             b = bare(word)
             is_sign[word] = bool(b) and not signs.isdisjoint(features(b))
         return is_sign[word]
 
-    hot, cold = [], []
-    for i in fit:
-        sentence: list[str] = []
-        for w in split[i]:
-            sentence.append(w)
-            if w.endswith(ENDS):
-                hot_or_not = hot if toxic[i] and any(map(sign, sentence)) else cold
-                hot_or_not.append((sentence, toxic[i]))
-                sentence = []
-        if sentence:
-            (hot if toxic[i] and any(map(sign, sentence)) else cold).append((sentence, toxic[i]))
-    pick = lambda x: [s for s in x[:: max(1, -(-len(x) // TRAIN_SENTENCES))] if len(s[0]) <= 2000]
-    train = pick(hot) + pick(cold)
+    def kinds():
+        for i in fit:
+            for s in sentences(texts[i]):
+                yield toxic[i] and any(map(sign, s)), s, toxic[i]
+
+    # Sentences with a sign and others: of each kind every k-th, so that at most TRAIN_SENTENCES train.
+    many = Counter(bool(hot) for hot, _, _ in kinds())
+    step = {k: -(-m // TRAIN_SENTENCES) for k, m in many.items()}
+    seen: Counter = Counter()
+    train = []
+    for hot, s, label in kinds():
+        if seen[bool(hot)] % step[bool(hot)] == 0:
+            train.append((s, label))
+        seen[bool(hot)] += 1
+    if not train:
+        return field
     words = common.flat(s for s, _ in train)
     label = np.array([bool(t) and sign(w) for s, t in train for w in s], float)
     sizes = np.array([len(s) for s, _ in train], np.int64)
@@ -260,6 +285,8 @@ def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.
         started += g0 * g0
         field.start -= rate * g0 / np.sqrt(started)
     held = [i for i in range(n) if i % 10 >= 6]
+    if len({toxic[i] for i in held}) < 2:
+        held = list(range(n))
     p, doc_sizes = tag([texts[i] for i in held], Words(field))
     field.scale, field.constant = calibrate(summed(p, doc_sizes), np.array([toxic[i] for i in held], float)), None
     return field
