@@ -86,6 +86,14 @@ def test_writes(spark, table):
     assert set(ids(both.rows)) == {"b", "c", "d"}
 
 
+def test_keyed_upserts(spark, table):
+    rows = table.rows.where("row_id = 'b'").withColumn("note", F.lit("new"))
+    good = rows.withColumn("key", F.struct("row_id"))
+    assert table.upsert_keyed(good).rows.where("row_id = 'b'").first().note == "new"
+    with pytest.raises(Exception, match="does not have the key"):
+        table.upsert_keyed(rows.withColumn("key", F.struct(F.lit("c").alias("row_id")))).rows.collect()
+
+
 def test_updates(table):
     u = table.update({"row_id": "b"}).set("revision", 7).set_when_defined("note", None)
     after, changed = u.where_equal("revision", 2).run()

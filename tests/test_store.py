@@ -210,6 +210,33 @@ def test_command_snapshots(spark, store):
     assert h.run(store, {"book": "a", "n": 7})[0] == "too-few"
 
 
+def test_run_and_wait(spark, store, tmp_path):
+    p = projector.Projector(store, books())
+    store.append(pending(spark, event("Added", "a", 3)))
+    with pytest.raises(TimeoutError):
+        projector.run_sync(lend(), {"book": "a", "n": 1}, p, 0.1)
+    q = projector.run_live([p], str(tmp_path / "cp"))
+    assert projector.run_sync(lend(), {"book": "a", "n": 1}, p, 60)[0] is None
+    q.stop()
+    assert p.states().first().state == 1
+    assert projector.run_sync(lend(), {"book": "a", "n": 9}, p)[0] == "too-few"
+
+
+def test_leases(spark, store):
+    assert store.lease("p", "one", 30, 100.0) and store.lease("p", "one", 30, 110.0) and not store.lease("p", "two", 30, 120.0)
+    assert store.lease("p", "two", 30, 150.0) and not store.lease("p", "one", 30, 151.0)
+    store.release("p", "one")
+    assert not store.lease("p", "one", 30, 152.0)
+    store.release("p", "two")
+    assert projector.leased(projector.Projector(store, books("p")), "one") and not projector.leased(projector.Projector(store, books("p")), "two")
+
+
+def test_control_texts():
+    for x in (("pause", "a:b", None), ("move", "books", 7), ("resume", "x", None)):
+        assert ops.parse_control(ops.control_text(x[0], x[1], x[2])) == x
+    assert [ops.parse_control(t) for t in ("", "pause", "pause:", "pause::", "move::x", "pause:1:x", "stop::x")] == [None] * 7
+
+
 def test_command_definitions():
     with pytest.raises(ValueError):
         CommandHandler("x", "a int", "int", EVENT, lambda c: F.lit(0), [], [Evolve(ADDED, lambda s, e, c: s)], [], lambda s, c: F.array())

@@ -66,6 +66,14 @@ class Table:
         kept = self.rows.join(new.select(*self.keys), list(self.keys), "left_anti")
         return self._new(kept.select(*self.rows.columns).unionByName(new))
 
+    def upsert_keyed(self, keyed: DataFrame) -> Table:
+        """Rows with a struct column `key` beside them; a row whose key columns differ from it fails the write."""
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"key.{k}"))
+        checked = keyed.withColumn(self.keys[0], F.when(same, F.col(self.keys[0])).otherwise(F.raise_error(F.lit("a row does not have the key it is stored under"))))
+        return self.upsert(checked)
+
     def insert_missing(self, rows: DataFrame) -> tuple[Table, DataFrame]:
         """Rows whose key is free; the second table is what was inserted."""
         fresh = rows.select(*self.rows.columns).dropDuplicates(list(self.keys)).join(self.rows.select(*self.keys), list(self.keys), "left_anti")

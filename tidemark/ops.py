@@ -27,6 +27,21 @@ def as_html(store: Store) -> str:
     return f"<table><tr><th>projection</th><th>group</th><th>position</th><th>state</th><th>error</th></tr>{rows}</table>"
 
 
+def control_text(action: str, name: str, position: int | None = None) -> str:
+    """A control request as text: `action:position:name`; the position is empty but for move."""
+    return f"{action}:{'' if position is None else position}:{name}"
+
+
+def parse_control(text: str) -> tuple[str, str, int | None] | None:
+    """(action, name, position), or None for a text that is no request."""
+    action, _, rest = text.partition(":")
+    position, colon, name = rest.partition(":")
+    moves = action == "move"
+    if not colon or not name or action not in ("pause", "resume", "reindex", "move") or moves != position.isdigit() or (position and not moves):
+        return None
+    return action, name, int(position) if moves else None
+
+
 def control(projector: Projector, action: str, position: int | None = None) -> None:
     """pause, resume, reindex, or move to a position."""
     if action == "move":

@@ -6,6 +6,8 @@ supplier stand for read-model tables.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import codec, ids
-from tidemark.model import START, EventFilter, EventSchema, ReadCursor, Registry, Scope
+from tidemark.model import PENDING, EventFilter, EventSchema, ReadCursor, Registry, Scope
 from tidemark.operators import fold
 from tidemark.operators.commands import CommandHandler, Evolve
 from tidemark.operators.query import Query, paginated
 from tidemark.operators.table import Table, flattened, nested
 from tidemark.sources.log import log_of_events
-from tidemark.streaming import delivery, saga
+from tidemark.sources.store import Store
+from tidemark.streaming import delivery, projector, saga
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -575,8 +578,62 @@ def _(spark, sf_dir):
     return saga.due(i, F.expr("timestamp'1996-01-01'")).select(F.col("id").cast("long").alias("o_orderkey"))
 
 
-def _described(schema: T.StructType) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+# --- the store and streams ------------------------------------------------------
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "START"]
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the shared one that the cluster names, or a temporary one where it names none."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
+
+
+def pending(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    rows = log_of_events(spark, sf_dir).rows.withColumn("ordinal", F.col("sequence_number"))
+    return rows.where(where).select(*(f.name for f in T._parse_datatype_string(PENDING).fields), "ordinal")
+
+
+@register("store_append", "select event_id + 1 as sequence_number, event_type, case when event_id < 3000 then 1 else 2 end as commit_group, 'user:' || user_id as user_tag from events where event_id < 4000")
+def _(spark, sf_dir):
+    """The second append repeats some ids; it checks the revision that the first one left."""
+    store = Store(spark, scratch(spark))
+    store.append(pending(spark, sf_dir, "sequence_number <= 3000"), EventFilter(), 0)
+    last = store.snapshot().log.revision().first().revision
+    store.append(pending(spark, sf_dir, "sequence_number between 2501 and 4000"), EventFilter(), last)
+    return store.snapshot().log.read_from().select("sequence_number", "event_type", "commit_group", F.col("tags")[0].alias("user_tag"))
+
+
+@register("store_outbox", "select event_id + 1 as sequence_number, event_type from events where event_id < 1500 and event_type <> 'error' and event_id >= 700")
+def _(spark, sf_dir):
+    store = Store(spark, scratch(spark))
+    store.append(pending(spark, sf_dir, "sequence_number <= 1500"))
+    store.mark_published(store.snapshot().outbox().where("sequence_number <= 700").select("sequence_number"))
+    return store.snapshot().outbox().select("sequence_number", "event_type")
+
+
+@register("store_projection", ACCOUNT_SQL.format(place="event_id"))
+def _(spark, sf_dir):
+    """Two commits, folded page by page; states and checkpoint read from one manifest."""
+    store = Store(spark, scratch(spark))
+    p = projector.Projector(store, account(), page=4000)
+    for part in ("sequence_number % 10000 <= 5000", "sequence_number % 10000 > 5000"):
+        store.append(pending(spark, sf_dir, f"sequence_number <= 10000 and {part}"))
+        p.catch_up()
+    return p.read_with_cursor()[0].select("key", "state.n", F.round("state.total", 2).alias("total"))
+
+
+#: Of the first 10,000 events, the last one joins the first commit.
+ORACLE_SQL["store_projection"] = ACCOUNT_SQL.format(place="(case when event_id = 9999 then 4999.5 else event_id end)").replace("from events)", "from events where event_id < 10000)")
+
+
+@register("stream_fold", "select cast(user_id as varchar) as key, count(*) as n, round(sum(value), 2) as total from events where event_type = 'purchase' group by 1")
+def _(spark, sf_dir):
+    """Keyed state in a streaming query; what the last batches gave each key."""
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*t").where("event_type = 'purchase'")
+    keyed = stream.select(F.col("user_id").cast("string").alias("key"), F.lit(0).cast("long").alias("commit_group"), F.col("event_id").alias("sequence_number"), "value")
+    out = scratch(spark)
+    step = lambda s, r: ((s or (0, 0.0))[0] + 1, (s or (0, 0.0))[1] + r["value"])
+    sink = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.parquet(f"{out}/rows/{batch}")
+    projector.stream_fold(keyed, "n long, total double", step, f"{out}/checkpoint", sink).awaitTermination()
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/rows")
+    return rows.groupBy("key").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 2).alias("total"))

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -46,6 +47,7 @@ class Manifest:
     tables: dict[str, list[str]] = field(default_factory=dict)
     states: dict[str, dict] = field(default_factory=dict)
     checkpoints: dict[str, dict] = field(default_factory=dict)
+    leases: dict[str, dict] = field(default_factory=dict)
 
     def next(self) -> Manifest:
         m = Manifest(**json.loads(json.dumps(self.__dict__)))
@@ -67,18 +69,18 @@ class Files:
 
     def versions(self) -> list[int]:
         if self.local is not None:
-            folder = f"{self.local}/_manifest"
+            folder = f"{self.local}/manifests"
             names = os.listdir(folder) if os.path.isdir(folder) else []
         else:
-            fs, p = self._fs(f"{self.root}/_manifest")
+            fs, p = self._fs(f"{self.root}/manifests")
             names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
     def load(self, version: int) -> dict:
         if self.local is not None:
-            with open(f"{self.local}/_manifest/{version:012d}.json") as f:
+            with open(f"{self.local}/manifests/{version:012d}.json") as f:
                 return json.load(f)
-        fs, p = self._fs(f"{self.root}/_manifest/{version:012d}.json")
+        fs, p = self._fs(f"{self.root}/manifests/{version:012d}.json")
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()))
@@ -89,7 +91,7 @@ class Files:
         """Complete or not at all, and only if there is none yet."""
         name, temp, text = f"{version:012d}.json", f".{uuid.uuid4().hex}", json.dumps(value)
         if self.local is not None:
-            folder = f"{self.local}/_manifest"
+            folder = f"{self.local}/manifests"
             os.makedirs(folder, exist_ok=True)
             with open(f"{folder}/{temp}", "w") as f:
                 f.write(text)
@@ -102,8 +104,8 @@ class Files:
             finally:
                 os.unlink(f"{folder}/{temp}")
             return
-        fs, p = self._fs(f"{self.root}/_manifest/{temp}")
-        _, to = self._fs(f"{self.root}/_manifest/{name}")
+        fs, p = self._fs(f"{self.root}/manifests/{temp}")
+        _, to = self._fs(f"{self.root}/manifests/{name}")
         out = fs.create(p, False)
         out.write(bytearray(text.encode()))
         out.close()
@@ -332,6 +334,31 @@ class Store:
         """Whatever stood there."""
         self.persist("", "x int", (), checkpoint=c)
 
+    # -- leases
+
+    def lease(self, name: str, holder: str, seconds: float = 30.0, now: float | None = None) -> bool:
+        """Takes or renews the lease of a name; false while another holder has it."""
+        now = time.time() if now is None else now
+
+        def change(_: Snapshot, m: Manifest) -> bool:
+            held = m.leases.get(name)
+            if held and held["holder"] != holder and held["until"] > now:
+                return False
+            m.leases[name] = {"holder": holder, "until": now + seconds}
+            return True
+
+        held = self.snapshot().manifest.leases.get(name)
+        if held and held["holder"] != holder and held["until"] > now:
+            return False
+        return self.commit(change)
+
+    def release(self, name: str, holder: str) -> None:
+        def change(_: Snapshot, m: Manifest) -> None:
+            if m.leases.get(name, {}).get("holder") == holder:
+                del m.leases[name]
+
+        self.commit(change)
+
     # -- command snapshots
 
     def save_snapshot(self, rows: DataFrame) -> None:

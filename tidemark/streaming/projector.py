@@ -1,4 +1,4 @@
-"""Running projections: page by page from a checkpoint, woken by a stream of log files.
+"""Running projections: page by page from a checkpoint, woken by a stream of manifests.
 
 A page is read in delivery order behind the checkpoint, folded, and its states and the new
 checkpoint are committed in one manifest. A failing event stops the projection there, with
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.model import LOG, START, Checkpoint, EventFilter, ReadCursor
+from tidemark.model import START, Checkpoint, EventFilter, ReadCursor
+from tidemark.operators.commands import CommandHandler
 from tidemark.operators.fold import Projection, project
 from tidemark.sources.store import Conflict, Store
 
@@ -120,25 +121,42 @@ class Projector:
         self.store.persist(self.name, self.schema, ("key",), deletes=now.state(self.name, self.schema).select("key"), checkpoint=c)
 
 
+def run_sync(handler: CommandHandler, command: dict, projector: Projector, seconds: float = 30.0) -> tuple[str | None, DataFrame | None]:
+    """Runs a command and waits until the projection has its events; TimeoutError if it has not in time."""
+    rejection, events = handler.run(projector.store, command)
+    if rejection is None and (last := events.agg(F.max(F.struct("commit_group", "sequence_number")).alias("x")).first().x):
+        if not projector.wait_for(ReadCursor(*last), seconds):
+            raise TimeoutError(f"{projector.name} has not reached {tuple(last)} in {seconds} s")
+    return rejection, events
+
+
+def leased(projector: Projector, holder: str, seconds: float = 30.0) -> bool:
+    """Catches up if this holder has the projection's lease; false if another one has."""
+    if not projector.store.lease(projector.name, holder, seconds):
+        return False
+    projector.catch_up()
+    return True
+
+
 def run_live(projectors: list[Projector], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """One streaming query that wakes the projectors whenever files join the log.
+    """One streaming query that wakes the projectors whenever a manifest appears.
 
     The stream only wakes: what is folded follows from manifests and checkpoints, so a
-    repeated or early batch changes nothing.
+    repeated batch changes nothing.
     """
     names = [p.name for p in projectors]
     if twice := sorted({n for n in names if names.count(n) > 1}):
         raise ValueError(f"projection names used twice: {', '.join(twice)}")
     store = projectors[0].store
     if store.files.local is not None:
-        os.makedirs(f"{store.files.local}/data/log", exist_ok=True)
+        os.makedirs(f"{store.files.local}/manifests", exist_ok=True)
 
     def wake(_: DataFrame, __: int) -> None:
         for p in projectors:
             p.catch_up()
 
-    files = store.spark.readStream.schema(LOG).option("recursiveFileLookup", "true").parquet(f"{store.root}/data/log")
-    writer = files.select("sequence_number").writeStream.foreachBatch(wake).option("checkpointLocation", checkpoint)
+    manifests = store.spark.readStream.option("wholetext", "true").text(f"{store.root}/manifests")
+    writer = manifests.writeStream.foreachBatch(wake).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="500 milliseconds")).start()
 
 
