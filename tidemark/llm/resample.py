@@ -2,7 +2,8 @@
 
 Two bag-of-n-grams models over hashed words and word pairs: one of target text, one of
 all raw text. The log weight of a document is the log ratio of both models, summed over
-its n-grams; a document's Gumbel noise, seeded by its id, is added, and the k documents
+its n-grams; beyond LENGTH n-grams it is their mean times LENGTH, so that the noise of rare
+buckets does not grow with the length of a text. A document's Gumbel noise, seeded by its id, is added, and the k documents
 with the largest sums are the sample (Gumbel top-k: sampling without replacement in
 proportion to the weights). k is the share of good rows among the labelled ones times all
 documents, unless given. The k-th largest sum is found by radix selection: counts of 2^16 buckets,
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS, TARGET_DOCS, CACHE_WORDS = 10_000, 5000, 500_000
+BUCKETS, TARGET_DOCS, CACHE_WORDS, LENGTH = 10_000, 5000, 500_000, 200
 _U = np.uint64
 
 
@@ -39,14 +40,11 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def grams(texts: list[bytes | None], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words of all texts, then of the pairs; and the text of each."""
     split = [t.lower().split() if t else [] for t in texts]
     sizes = np.array([len(s) for s in split], np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, common.flat(split)), np.uint64, int(sizes.sum()))
+    h = np.fromiter(map(common.only_cache("gram hashes", _Hashes).__getitem__, common.flat(split)), np.uint64, int(sizes.sum()))
     text = np.repeat(np.arange(len(texts)), sizes)
     inner = text[1:] == text[:-1]
     pair = (h[:-1] * _U(0x9E3779B97F4A7C15) + h[1:] * _U(0xC2B2AE3D27D4EB4F) + _U(1))[inner]
@@ -84,6 +82,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         bucket, text = grams(texts, len(ratio))
         log = np.bincount(text, ratio[bucket], len(texts)).astype(float)
+        log *= LENGTH / np.maximum(np.bincount(text, minlength=len(texts)), LENGTH)
         names = [b"null" if i is None else str(i).encode() for i in batch.column("doc_id").to_pylist()]
         u = (np.array([xxhash.xxh64_intdigest(n, 11) >> 11 for n in names], float) + 0.5) / (1 << 53)
         noisy = log - np.log(-np.log(u)) + 0.0
