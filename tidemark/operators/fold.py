@@ -7,7 +7,7 @@ compiled by Spark. Three ways give the same result:
 * `fold_columns`: an array of a key's events, folded by the higher-order aggregate; for
   any Column functions.
 * `fold_sums`: for handlers that reset, delete or add; two aggregations with partial
-  sums and a join, so a hot key is never gathered.
+  sums and a salted join, so a hot key is never gathered.
 * `fold_rows`: Python functions over sorted partitions, one event at a time; a key of
   any length passes in bounded memory.
 """
@@ -209,13 +209,18 @@ class Sums:
     lasts: dict[str, Column] = field(default_factory=dict)
 
 
-def fold_sums(s: Sums, keyed: DataFrame) -> DataFrame:
-    """key and the state's fields, of the keys that are there at the end. keyed: key, commit_group, sequence_number, event_type and what sums and lasts read."""
+def fold_sums(s: Sums, keyed: DataFrame, spread: int = 8) -> DataFrame:
+    """key and the state's fields, of the keys that are there at the end. keyed: key, commit_group, sequence_number, event_type and what sums and lasts read.
+
+    The rows of a key are dealt over `spread` tasks, to each of which its last reset goes;
+    partial sums meet afterwards.
+    """
     place = F.struct("commit_group", "sequence_number")
     kind = F.col("event_type")
-    resets = keyed.where(kind.isin(*s.sets, *s.deletes)).groupBy("key").agg(F.max(place).alias("at"), F.max_by("event_type", place).alias("by"))
-    resets = resets.select(F.col("key").alias("_key"), "at", F.col("by").isin(*s.sets).alias("anew"))
-    live = keyed.where(kind.isin(*s.sets, *s.adds)).join(resets, F.col("key") == F.col("_key"), "left")
+    resets = keyed.where(kind.isin(*s.sets, *s.deletes)).groupBy("key").agg(F.max(F.struct("commit_group", "sequence_number", "event_type")).alias("by"))
+    resets = resets.select(F.col("key").alias("_key"), F.struct("by.commit_group", "by.sequence_number").alias("at"), F.col("by.event_type").isin(*s.sets).alias("anew"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_salt"))
+    salted = keyed.where(kind.isin(*s.sets, *s.adds)).withColumn("salt", F.pmod(F.xxhash64("sequence_number"), F.lit(spread)).cast("int"))
+    live = salted.join(resets, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")), "left")
     live = live.where(F.col("at").isNull() | (place > F.col("at")) | ((place == F.col("at")) & F.col("anew")))
     added = kind.isin(*s.adds)
     sums = [F.coalesce(F.sum(F.when(added, v)), F.lit(0)).alias(n) for n, v in s.sums.items()]
