@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import itertools
 import tempfile
 import uuid
@@ -17,10 +20,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 #: Text that is handled in one go inside a batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+_cache: list = [None, None]
+
+
+def trim() -> None:
+    """Gives memory that is free inside the process back to the machine, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def only_cache(name: str, make: Callable[[], object]):
+    """A worker's cache of a name, kept from task to task; a worker that is reused for another operator drops the former's."""
+    if _cache[0] != name:
+        _cache[:] = name, None  # the old one goes before the new one is made
+        trim()
+        _cache[1] = make()
+    return _cache[1]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,13 +117,13 @@ def chunks(texts: list[bytes | None], most: int = CHUNK_BYTES) -> Iterator[slice
         yield slice(start, len(texts))
 
 
-def per_chunk(f: Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch | None]):
+def per_chunk(f: Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch | None], most: int = CHUNK_BYTES):
     """Turns f(rows, their texts as UTF-8) into a function for mapInArrow that sees a bounded amount of text at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for s in chunks(texts):
+            for s in chunks(texts, most):
                 out = f(batch.slice(s.start, s.stop - s.start), texts[s])
                 if out is not None and out.num_rows:
                     yield out

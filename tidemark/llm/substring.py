@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, ROUNDS = 35, 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _U = np.uint64
 # Odd multipliers; INVERSE times BASE is 1 modulo 2^64.
 MIX1, MIX2, BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -61,11 +61,8 @@ class _Hashes(dict):
         return h
 
 
-_hashes = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(common.only_cache("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
 
 
 def recompress(words: np.ndarray, gap: np.ndarray, rounds: int) -> tuple[np.ndarray, ...]:
@@ -275,18 +272,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
         raise ValueError("a window has 1 to 63 words")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     every = common.table(all_segments(ids, window, rounds))
-    several = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Counts are written before they are joined: a join right behind an aggregation could not split a hot key.
+    several = common.table(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     shared = common.table(every.join(several, "anchor", "left_semi"))
     common.forget(every)
     kinds = common.table(shared.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("one")))
     whole = shared.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "place")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    mixed = common.table(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
     ones = kinds.join(mixed, "anchor", "left_semi").select("one.doc_id", F.when(F.col("n") == 1, F.col("one.place").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.col("one.place")).alias("place"), "anchor")
     by_doc = ones.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "anchor")).alias("segments"))
     held = compressed(ids).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "segments")
     windows = common.table(single_windows(held, window).distinct())
     lonely = F.col("place").bitwiseAND(F.lit(1).cast("long")) == 1
-    again = windows.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max(lonely).alias("some")).where("n > 1 and some").select("anchor", "content")
+    again = common.table(windows.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max(lonely).alias("some")).where("n > 1 and some").select("anchor", "content"))
     parts = windows.where(lonely).join(again, ["anchor", "content"], "left_semi").select("doc_id", "place")
     return whole.unionByName(parts).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
 
