@@ -179,3 +179,18 @@ def digests(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame
     common.prepare(conversations.sparkSession)
     order = [F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")]
     return _turns(conversations).repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, DIGEST)
+
+
+#: DuckDB SQL for digests() over conversations and conversation -1: an escape adds one character for each control string, shielded ones included.
+ORACLE = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t as (
+  select *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:/?s>|/?INST\]|/?ROLE\])'))
+         + case role when 'user' then 18 when 'assistant' then 9 else length(q) + 19 end as n from (select *, to_json(role)::varchar as q from c) s)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, sum(n)::bigint as formatted_chars
+from t group by conv_id
+"""

@@ -74,4 +74,10 @@ QUERIES = {
 }
 
 #: For the others SQL has no form; tests hold them against brute force, round trips or held-out labels.
-ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op8_maxscore": maxscore.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLE_SQL = {
+    "op2_substring_dedup": substring.ORACLE,
+    "op3_license_scan": licenses.oracle(),
+    "op8_maxscore": maxscore.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}

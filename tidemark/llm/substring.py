@@ -355,3 +355,17 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
 
     found = _with_places(boxed, window, rounds).mapInArrow(run, schema)
     return found.select(*(F.col("text") if c == "text" else F.col(f"box.`{c}`") for c in docs.columns))
+
+
+#: DuckDB SQL for digests() over documents: windows are compared as strings.
+ORACLE = """
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+u as (select r, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+g as (select r, i, word, case when count(*) over f = 35 then string_agg(word, ' ') over f end as win from u
+      window f as (partition by r order by i rows between current row and 34 following)),
+d as (select win from g where win is not null group by win having count(*) > 1),
+c as (select r, i, word, bool_or(d.win is not null) over (partition by r order by i rows between 34 preceding and current row) as gone
+      from g left join d on g.win = d.win),
+k as (select r, count(*) as n, count(*) filter (gone) as m, string_agg(word, ' ' order by i) filter (not gone) as kept from c group by r)
+select doc_id, coalesce(n, 0) as n_words, coalesce(m, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k on w.r = k.r
+"""
