@@ -103,6 +103,15 @@ def test_three_ways_agree(spark):
     assert one == two == three == want
 
 
+def test_list_valued_state(spark):
+    """Reservations are appended and taken out of a list."""
+    on, none = fold.on, F.array().cast("array<bigint>")
+    p = fold.Projection("r", "array<bigint>", EVENT, [
+        on(E["Added"]).upsert(lambda s, e: F.array_append(F.coalesce(s, none), e["value"])),
+        on(E["Guarded"]).update(lambda s, e: F.filter(s, lambda x: x != e["value"]))], scopes=(ITEM,))
+    assert states(fold.project(p, log(spark, (1, "Added", ["a"], 4), (1, "Added", ["a"], 5), (1, "Guarded", ["a"], 4), (2, "Added", ["a"], 6)))) == {"a": [5, 6]}
+
+
 def test_widest():
     assert fold.widest(["a int, b string", "b string, c long"]) == "a int, b string, c bigint"
     with pytest.raises(ValueError):

@@ -222,6 +222,16 @@ def test_run_and_wait(spark, store, tmp_path):
     assert projector.run_sync(lend(), {"book": "a", "n": 9}, p)[0] == "too-few"
 
 
+def test_side_effects(spark, tmp_path):
+    """A projection without state sees every event once its checkpoint moves on."""
+    seen: list = []
+    for n in (1, 2):
+        spark.createDataFrame([(n,)], "sequence_number long").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("sequence_number long").parquet(str(tmp_path / "in"))
+        projector.each_event(stream, lambda df, _: seen.extend(r[0] for r in df.collect()), str(tmp_path / "cp")).awaitTermination(60)
+    assert seen == [1, 2]
+
+
 def test_leases(spark, store):
     assert store.lease("p", "one", 30, 100.0) and store.lease("p", "one", 30, 110.0) and not store.lease("p", "two", 30, 120.0)
     assert store.lease("p", "two", 30, 150.0) and not store.lease("p", "one", 30, 151.0)
