@@ -14,7 +14,6 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import itertools
-import json
 import zlib
 from collections.abc import Iterable
 
@@ -31,8 +30,8 @@ PACKED = PIECE + ", sequence_id long, offset long"
 #: Pieces that a group holds on average; repeated rows are dealt out by so many, too.
 GROUP_PIECES = 2048
 
-#: Distinct words that a worker keeps with their ids.
-CACHE_WORDS = 1_000_000
+#: Distinct words, as they stand and without signs, that a worker keeps with their ids.
+CACHE_WORDS, CACHE_PARTS = 250_000, 450_000
 
 #: Signs that a tokenizer cuts from the letters before them.
 SIGNS = ".,;:!?%#$&*()[]|\""
@@ -78,18 +77,20 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for w, i in vocabulary.items() if suffix and w.endswith(suffix)]] = True
+        suffix, name = self.tokenizer.model.end_of_word_suffix, self.tokenizer.id_to_token
+        #: Ids that end a word.
+        self.last = np.array([bool(suffix) and (name(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())], bool)
         self.clear()
 
     def clear(self) -> None:
-        self.row = _Rows()
-        self.words = _Table()
+        self.forget_words()
         self.part: dict[str, int] = {"": 0}
         self.parts = _Table()
 
+    def forget_words(self) -> None:
+        self.row = _Rows()
+        self.words = _Table()
+
     def _learn_parts(self, parts: set[str]) -> None:
         """Parts that are all letters are encoded many to a text: their last ids tell where each ends."""
         letters = [p for p in parts if p.isalpha() and p.lower().isalpha()]
@@ -126,8 +127,10 @@ class WordIds:
         # The tokenizer lowers letters itself, but not within its special strings.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = common.flat(split)
-        if len(self.row) > CACHE_WORDS:
+        if len(self.part) > CACHE_PARTS:
             self.clear()
+        elif len(self.row) > CACHE_WORDS:
+            self.forget_words()
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
         if self.row.new:
             self._learn(self.row.new)
@@ -138,14 +141,8 @@ class WordIds:
         return ids, np.diff(upto[np.concatenate([[0], word_ends]).astype(np.int64)])
 
 
-_kept: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    """One cache a worker, kept from task to task."""
-    if path not in _kept:
-        _kept[path] = WordIds(path)
-    return _kept[path]
+    return common.only_cache(f"word ids {path}", lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) -> DataFrame:
@@ -164,7 +161,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) ->
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     common.prepare(docs.sparkSession)
-    return common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(common.per_chunk(cut), PIECE)
+    return common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(common.per_chunk(cut, common.CHUNK_BYTES // 2), PIECE)
 
 
 class Tournament:
