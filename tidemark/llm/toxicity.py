@@ -178,10 +178,16 @@ def evident(texts: list[str], toxic: list[int], least: int = 4, odds: float = 2.
     def of(text: str) -> set[str]:
         return {f for w in {bare(x) for x in text.lower().split()} if w for f in features(w)}
 
+    # Most features are rare: counts by slot first, so that only those that may reach `least` are kept by name.
+    rough = np.zeros(1 << 22, np.uint16)
+    for text, label in zip(texts, toxic):
+        if label:
+            own = np.unique(np.fromiter((zlib.crc32(f.encode()) for f in of(text)), np.uint32) & (len(rough) - 1))
+            rough[own] += rough[own] < 1000
     hits: Counter = Counter()
     for text, label in zip(texts, toxic):
         if label:
-            hits.update(of(text))
+            hits.update(f for f in of(text) if rough[zlib.crc32(f.encode()) & (len(rough) - 1)] >= least)
     hits = Counter({f: k for f, k in hits.items() if k >= least})
     clean: Counter = Counter()
     for text, label in zip(texts, toxic):
@@ -334,7 +340,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
 SCORED = "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
 _TOKEN = re.compile(r"\S+")
-_words: dict[int, Words] = {}
+
+
+def _cached(field: Field) -> Words:
+    return common.only_cache(f"toxicity {id(field)}", lambda: Words(field))
 
 
 def score(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
@@ -344,11 +353,8 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         model = shared.value
-        if id(model) not in _words:
-            _words.clear()
-            _words[id(model)] = Words(model)
         strings = [(t or b"").decode() for t in texts]
-        p, sizes = tag(strings, _words[id(model)])
+        p, sizes = tag(strings, _cached(model))
         scores = expit(summed(p, sizes) @ model.scale) if model.constant is None else np.full(len(texts), model.constant)
         spans: list[list] = [[] for _ in texts]
         hot = np.flatnonzero(p >= threshold)
@@ -381,10 +387,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         model = shared.value
-        if id(model) not in _words:
-            _words.clear()
-            _words[id(model)] = Words(model)
-        p, sizes = tag([(t or b"").decode() for t in texts], _words[id(model)])
+        p, sizes = tag([(t or b"").decode() for t in texts], _cached(model))
         scores = expit(summed(p, sizes) @ model.scale) if model.constant is None else np.full(len(texts), model.constant)
         return batch.filter(pa.array(scores < threshold))
 
