@@ -14,7 +14,7 @@ without signs, of at most LONGEST words; scoring has no bound.
 Defined results: a null or empty text has no tokens and the score that follows from that; a
 null doc_id is scored, is not held out and never trains; repeated rows score alike;
 without toxic (or without clean) training rows every score is the smoothed share of toxic
-ones; an empty table gives no rows; other columns are ignored.
+ones, a quarter if there are no rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ def sentences(text: str):
 def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.4, decay: float = 1e-5) -> Field:
     n = len(toxic)
     zero = np.zeros(SLOTS)
-    field = Field(zero, zero.copy(), zero.copy(), np.zeros((2, 2)), 0.0, np.zeros(4), (sum(toxic) + 1) / (n + 2))
+    field = Field(zero, zero.copy(), zero.copy(), np.zeros((2, 2)), 0.0, np.zeros(4), (sum(toxic) + 0.5) / (n + 2))
     if len(set(toxic)) < 2:
         return field
     fit = [i for i in range(n) if i % 10 < 6]  # the others calibrate
