@@ -60,6 +60,16 @@ def test_ids_are_stored_once(spark, store):
     assert store.snapshot().outbox().count() == 2
 
 
+def test_many_given_ids_and_vacuum(spark, store):
+    store.append(pending(spark, *({"id": f"e{i}", "type": "A", "tags": ["x:1"]} for i in range(30))))
+    done = store.append(pending(spark, *({"id": f"e{i}", "type": "B", "tags": ["x:1", "y:1"]} for i in range(20, 50))))
+    assert [r.sequence_number for r in done.collect()] == list(range(21, 51))
+    now = store.snapshot()
+    assert now.log.rows.count() == 50 and now.log.index.count() == now.log.index.distinct().count() == 50 + 30
+    assert store.vacuum(3600) == 0 and store.vacuum(-1) > 0
+    assert store.snapshot().log.rows.count() == 50
+
+
 def test_messages_in_the_same_commit(spark, store):
     m = spark.createDataFrame([("t", None, "p1", {"a": "b"}), ("t", "k", "p2", {})], "topic string, key string, payload string, headers map<string,string>")
     store.append(pending(spark, {"type": "A"}), messages=m)

@@ -29,6 +29,8 @@ from tidemark.sources.log import EventLog
 LOG_TABLES = {"log": LOG, "tags": TAG_INDEX, "event_outbox": "global_position long", "published": "global_position long", "message_outbox": f"id long, {MESSAGE}", "message_done": "id long"}
 SNAPSHOT_KEY = ("snapshot_id", "snapshot_key", "snapshot_version")
 BUCKETS = 64
+#: So many event ids at most are pushed to a scan as values, which is Spark's own limit.
+FEW_IDS = 10
 
 
 class Conflict(Exception):
@@ -183,7 +185,8 @@ class Store:
 
     def _write(self, df: DataFrame, name: str, *by: str) -> str:
         path = f"data/{name}/{uuid.uuid4().hex}"
-        (df.write.partitionBy(*by) if by else df.write).parquet(f"{self.root}/{path}")
+        writer = df.write.option("parquet.bloom.filter.enabled#event_id", "true") if name == "log" else df.write
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{path}")
         return path
 
     def _add(self, m: Manifest, name: str, df: DataFrame) -> None:
@@ -220,7 +223,7 @@ class Store:
         """
         if "ordinal" not in pending.columns:
             pending = pending.withColumn("ordinal", F.monotonically_increasing_id())
-        named = pending.withColumn("event_id", F.coalesce("event_id", F.expr("uuid()")))
+        named = pending.withColumn("given", F.col("event_id").isNotNull()).withColumn("event_id", F.coalesce("event_id", F.expr("uuid()")))
         # Ids and order are fixed by writing them; whatever is retried reads the same.
         staged = self._staged(named)
         empty, no_messages = staged.isEmpty(), messages is None or messages.isEmpty()
@@ -243,8 +246,7 @@ class Store:
 
     def _add_events(self, now: Snapshot, m: Manifest, staged: DataFrame) -> DataFrame:
         firsts = staged.groupBy("event_id").agg(F.min("ordinal").alias("ordinal"))
-        old = now.table("log").join(firsts.select("event_id"), "event_id", "left_semi").select("event_id", F.col("sequence_number").alias("old_position"), F.col("recorded_at").alias("old_time"))
-        known = self._staged(old)
+        known, repeated = self._known(now, staged)
         placed = self._staged(self._marked(firsts.join(known, "event_id", "left_anti").repartitionByRange("ordinal").sortWithinPartitions("ordinal")))
         number, total = self._dense(placed, m.next_position)
         placed = placed.select("event_id", number.alias("new_position"))
@@ -269,11 +271,42 @@ class Store:
         new = out.where("inserted").join(first.select("event_id", "ordinal"), ["event_id", "ordinal"], "left_semi")
         names = [f.name for f in LOG.fields]
         self._add(m, "log", new.select(*names))
-        tags = out.select(F.explode("tags").alias("tag"), "sequence_number").distinct()
-        self._add(m, "tags", tags.join(now.table("tags"), ["tag", "sequence_number"], "left_anti"))
+        # The index of new positions is new; only events that were there before may have tags in it already.
+        tags = out.select(F.explode("tags").alias("tag"), "sequence_number", "inserted").distinct()
+        fresh = tags.where("inserted").select("tag", "sequence_number")
+        if repeated:
+            again = tags.where("not inserted").select("tag", "sequence_number")
+            fresh = fresh.unionByName(again.join(now.table("tags"), ["tag", "sequence_number"], "left_anti"))
+        self._add(m, "tags", fresh.sortWithinPartitions("tag", "sequence_number"))
         self._add(m, "event_outbox", new.where(~F.col("is_external")).select(F.col("sequence_number").alias("global_position")))
         return out.orderBy("ordinal").select(*names)
 
+    def _known(self, now: Snapshot, staged: DataFrame) -> tuple[DataFrame, bool]:
+        """event_id, old_position, old_time of the events that are in the log already, and whether there are any.
+
+        Only ids that callers gave can be. A few of them reach the scan, where the log
+        files' Bloom filters decide; many are joined.
+        """
+        given = staged.where("given").select("event_id").distinct()
+        few = [r.event_id for r in given.limit(FEW_IDS + 1).collect()]
+        log = now.table("log")
+        if len(few) <= FEW_IDS:
+            log = log.where(F.col("event_id").isin(*few) if few else F.lit(False))
+        else:
+            log = log.join(given, "event_id", "left_semi")
+        known = self._staged(log.select("event_id", F.col("sequence_number").alias("old_position"), F.col("recorded_at").alias("old_time")))
+        return known, bool(few) and not known.isEmpty()
+
+    def vacuum(self, seconds: float = 86_400.0) -> int:
+        """Deletes what appends had written to fix their input, once it is older than that; returns how many folders."""
+        fs, path = self.files._fs(f"{self.root}/data/staged")
+        if not fs.exists(path):
+            return 0
+        old = [s.getPath() for s in fs.listStatus(path) if s.getModificationTime() <= (time.time() - seconds) * 1000]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
     def _add_messages(self, m: Manifest, messages: DataFrame) -> None:
         staged = self._staged(self._marked(messages.select(*(x.split()[0] for x in MESSAGE.split(", ")))))
         number, total = self._dense(staged, m.next_message)
