@@ -15,23 +15,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return toxicity.toxic_documents(common.read_spread(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digests(common.read(spark, sf_dir, "documents"))
+    return substring.digests(common.read_spread(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(common.read(spark, sf_dir, "documents"))
+    return licenses.scan(common.read_spread(spark, sf_dir, "documents"))
 
 
 def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.sample(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return resample.sample(common.read_spread(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(common.read_spread(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(common.read_spread(spark, sf_dir, "documents"))
 
 
 def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
