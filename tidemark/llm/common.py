@@ -31,6 +31,7 @@ _cache: list = [None, None]
 def trim() -> None:
     """Gives memory that is free inside the process back to the machine, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -138,6 +139,7 @@ def per_chunk(f: Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch |
                 out = f(batch.slice(s.start, s.stop - s.start), texts[s])
                 if out is not None and out.num_rows:
                     yield out
+        trim()  # the worker may idle, or turn to another operator, beside others that need memory
 
     return run
 

@@ -14,6 +14,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 import itertools
+import os
 import zlib
 from collections.abc import Iterable
 
@@ -31,7 +32,7 @@ PACKED = PIECE + ", sequence_id long, offset long"
 GROUP_PIECES = 2048
 
 #: Distinct words, as they stand and without signs, that a worker keeps with their ids.
-CACHE_WORDS, CACHE_PARTS = 250_000, 450_000
+CACHE_WORDS, CACHE_PARTS = 200_000, 350_000
 
 #: Signs that a tokenizer cuts from the letters before them.
 SIGNS = ".,;:!?%#$&*()[]|\""
@@ -74,6 +75,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # One thread a worker: the library's own pool would add threads, each with memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
