@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, mixing, packing, simhash, substring, toxicity
+from tidemark.llm import common, mixing, packing, similar, substring, toxicity
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
-    return simhash.keep_one(docs)
+    """One document stays of those that links of 5-word similarity of 0.8 join."""
+    return similar.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,7 +172,12 @@ def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 4
 
     A document without a doc_id stays only if its component has none that has one.
     """
-    found = common.table(linked(docs.select("doc_id", "text"), distance, shingle, seed).where("doc_id <=> component_id"))
+    return first_of(docs, linked(docs.select("doc_id", "text"), distance, shingle, seed))
+
+
+def first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of each root in rows (doc_id, tag, root, component_id of every document) the one document that keep_one() keeps."""
+    found = common.table(rows.where("doc_id <=> component_id"))
     stay = common.checkpoint(found.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("tag").alias("_tag")))
     rows = found.join(stay.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & (F.col("tag") == F.col("_tag")))
     stay = common.checkpoint(rows.groupBy("_id", "_tag").count())
