@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of bytes other than ASCII white space, exactly what bytes.split() separates.
@@ -53,18 +54,27 @@ _shipped: set[str] = set()
 
 
 def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """read(), dealt out by hash if the files have fewer row groups than the cluster has cores.
+    """read(), dealt out row by row if the files have fewer row groups than the cluster has cores.
 
-    The look at the partitions reads no column. Large tables have row groups enough and are not moved.
+    The look at the partitions reads no column. What moves is at most one row group a
+    core; larger tables have row groups enough and stay where they are.
     """
     df = read(spark, sf_dir, table)
     cores = spark.sparkContext.defaultParallelism
     busy = df.groupBy(F.spark_partition_id().alias("p")).count().count()
-    return df if busy >= cores else df.repartition(cores, *df.columns)
+    return df if busy >= cores else df.repartition(cores)
+
+
+def doc_id() -> Column:
+    """The doc_id as a long; one that is no number is null."""
+    return F.col("doc_id").try_cast("long").alias("doc_id")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Before a Python stage: this package goes to the workers, and long texts must not meet by the ten thousand in one batch."""
+    """Before a Python stage: this package goes to the workers, and long texts must not meet by the ten thousand in one batch.
+
+    The two batch limits stay set in the session: results are lazy, and a plan reads them when it runs.
+    """
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
@@ -79,30 +89,42 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where it names none."""
+    """The shared folder the cluster names; a folder of our own only where it names none and all runs on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def table(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage is cut, later scans prune columns."""
+    """Writes df as Parquet into the shared folder and reads it again: lineage is cut, later scans prune columns.
+
+    The files go when forget() is told to, else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def forget(*tables: DataFrame) -> None:
     """Deletes what table() wrote, once nothing that is still to run reads it."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    for df in tables:
+        fs, where = _place(df.sparkSession, df.scratch_path)
+        fs.delete(where, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -15,12 +15,17 @@ segment, the only thing that is shuffled:
 3. segments that share an anchor with a different segment are compared window by window,
    one of each kind.
 
-A window without any symbol inside (in long runs) is its own anchor. Hashes that decide
-are two independent ones of 64 bits, anchor and content, which must both agree.
+A window without any symbol inside (in long runs) is its own anchor. A repeat is verified by
+its words: besides the anchor, which is made of hashes of words, a 64-bit hash of the
+segment's bytes from first to last word must agree, so that neither decides alone.
 
-Defined results: a null text has no words; texts of fewer words than a window lose none;
-a null doc_id is a document like any other; repeated rows repeat each other's windows;
-an empty table gives no rows; other columns are kept where documents are returned and
+Segments refer to their text by 128 bits of its hash, whatever its doc_id: rows with the
+same id, or none, never mix, and equal texts, which lose the same words, share one entry.
+
+Defined results: a null text has no words; texts of fewer words than a window lose none; very
+long texts are handled whole, up to 2^31 words; a null doc_id, or one that is no number, is a
+document like any other with a null id; repeated rows repeat each other's windows; ties between
+anchors go to the leftmost; an empty table gives no rows; other columns are kept where documents are returned and
 ignored otherwise.
 """
 
@@ -40,11 +45,10 @@ from . import common
 WINDOW, ROUNDS = 35, 3
 CACHE_WORDS = 200_000
 _U = np.uint64
-# Odd multipliers; INVERSE times BASE is 1 modulo 2^64.
+# Odd multipliers.
 MIX1, MIX2, BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
-INVERSE = _U(pow(int(BASE), -1, 1 << 64))
 #: Of a 64-bit order key: bits for the place, then for the hash, then for the length.
-PLACE, HASH = 28, 28
+PLACE, HASH = 31, 25
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,34 +108,37 @@ def recompress(words: np.ndarray, gap: np.ndarray, rounds: int) -> tuple[np.ndar
 
 
 class Chunk:
-    """Neighbouring texts laid out with a separator before each and after the last."""
+    """The words of neighbouring texts, one behind the other."""
 
     def __init__(self, texts: list[bytes | None]):
-        split = [t.split() if t else [] for t in texts]
-        self.sizes = np.array([len(s) for s in split], np.int64)
-        total = int(self.sizes.sum()) + len(split) + 1
-        self.base = np.cumsum(self.sizes + 1) - self.sizes
-        self.gap = np.zeros(total, bool)
-        self.gap[self.base - 1] = self.gap[-1] = True
-        self.words = np.zeros(total, np.uint64)
-        self.words[~self.gap] = word_hashes(common.flat(split))
-        power = np.full(total + 1, BASE)
-        power[0] = 1
-        back = np.full(total + 1, INVERSE)
-        back[0] = 1
-        power, self.back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.words) * power[:-1], dtype=np.uint64)])
-
-    def content(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A hash of the words from start to end (exclusive), wherever they stand."""
-        return mix((self.sums[end] - self.sums[start]) * self.back[start])
+        self.split = [t.split() if t else [] for t in texts]
+        self.sizes = np.array([len(s) for s in self.split], np.int64)
+        self.base = np.cumsum(self.sizes) - self.sizes
+        self.words = common.flat(self.split)
+        self.bytes = memoryview(b" ".join(self.words))
+        self.at = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1, out=self.at[1:])
+
+    def content(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of the words from first to end (exclusive), joined by one space."""
+        own, digest = self.bytes, xxhash.xxh3_64_intdigest
+        spans = zip(self.at[first].tolist(), (self.at[end] - 1).tolist())
+        return np.fromiter((digest(own[a:b]) for a, b in spans), np.uint64, len(first))
 
     def windows(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start of each window, and its text."""
+        """First word of each window, and its text."""
         n = np.maximum(self.sizes - window + 1, 0)
         text = np.repeat(np.arange(len(n)), n)
         return np.repeat(self.base - (np.cumsum(n) - n), n) + np.arange(n.sum()), text
 
+    def symbols(self, rounds: int) -> tuple[np.ndarray, ...]:
+        """recompress() over all texts with a separator before each and after the last."""
+        gap = np.zeros(len(self.words) + len(self.split) + 1, bool)
+        gap[self.base + np.arange(len(self.split))] = gap[-1] = True
+        names = np.zeros(len(gap), np.uint64)
+        names[~gap] = word_hashes(self.words)
+        return recompress(names, gap, rounds)
+
 
 def segments(chunk: Chunk, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Text, first window (from the text's start), number of windows, anchor and content hash of each segment."""
@@ -139,8 +146,8 @@ def segments(chunk: Chunk, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[
     if not len(at):
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-    name, start, low, high, _ = recompress(chunk.words, chunk.gap, rounds)
-    length = np.diff(np.append(start, len(chunk.words)))
+    name, start, low, high, _ = chunk.symbols(rounds)
+    length = np.diff(np.append(start, len(chunk.words) + len(chunk.split) + 1))
     key = (_U(255) - np.minimum(length, 255).astype(np.uint64)) << _U(PLACE + HASH)
     key |= (mix(name) >> _U(64 - HASH)) << _U(PLACE)
     key |= np.arange(len(name), dtype=np.uint64)
@@ -152,7 +159,8 @@ def segments(chunk: Chunk, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[
         np.minimum(prior[:-d], prior[d:], out=step[:-d])
         tables.append(step)
     tables = np.stack(tables)
-    from_, to = np.searchsorted(low, at, "left"), np.searchsorted(high, at + window, "right")
+    place = at + text + 1  # among the words with their separators
+    from_, to = np.searchsorted(low, place, "left"), np.searchsorted(high, place + window, "right")
     count = to - from_
     has = count > 0
     level = np.frexp(np.where(has, count, 1))[1] - 1
@@ -162,59 +170,64 @@ def segments(chunk: Chunk, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[
     new[1:] = (anchor[1:] != anchor[:-1]) | (anchor[1:] < 0) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(at)))
-    at, text, anchor = at[first], text[first], anchor[first]
-    content = chunk.content(at, at + n - 1 + window)
+    at, place, text, anchor = at[first], place[first], text[first], anchor[first]
+    words = chunk.content(at, at + n - 1 + window)
     lone = anchor < 0
-    offset = np.where(lone, 0, start[anchor] - at).astype(np.uint64)
-    content = mix(content + (offset << _U(32)) * MIX1 + n.astype(np.uint64) * MIX2)
-    # Another hash than the content: of the words themselves, by the names.
-    named = mix(np.where(lone, content * MIX2 + _U(1), name[anchor] ^ BASE))
+    offset = np.where(lone, 0, start[anchor] - place).astype(np.uint64)
+    content = mix(words + (offset << _U(32)) * MIX1 + n.astype(np.uint64) * MIX2)
+    named = mix(np.where(lone, words * MIX2 + _U(1), name[anchor] ^ BASE))
     return text, at - chunk.base[text], n, named, content
 
 
-SEGMENT = "doc_id long, anchor long, content long, place long"
+KEY = ["k0", "k1"]
+SEGMENT = "k0 long, k1 long, anchor long, content long, place long"
+
+
+def text_keys(texts: list[bytes | None]) -> np.ndarray:
+    """Two columns: 128 bits that stand for a text."""
+    digests = b"".join(xxhash.xxh3_128_digest(t or b"", 7) for t in texts)
+    return np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _tag(text: bytes) -> int:
-    """27 bits that tell texts with the same doc_id apart."""
-    return xxhash.xxh64_intdigest(text, 7) >> 37
+def packed(first: np.ndarray, n: np.ndarray, lonely: np.ndarray | int = 0) -> np.ndarray:
+    """First window, number of windows (6 bits), and whether its kind occurs once."""
+    return first << 7 | n << 1 | lonely
 
 
-def packed(tag: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Tag of the text (27 bits), first window (30), number of windows (6), and a free bit."""
-    return (tag.astype(np.uint64) << _U(37) | first.astype(np.uint64) << _U(7) | n.astype(np.uint64) << _U(1)).view(np.int64)
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 7, place >> 1 & 63, place & 1
 
 
-def unpacked(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    x = place.view(np.uint64)
-    return (x >> _U(37)).astype(np.int64), (x >> _U(7) & _U((1 << 30) - 1)).astype(np.int64), (x >> _U(1) & _U(63)).astype(np.int64), (x & _U(1)).astype(bool)
+def _text(docs: DataFrame, *keep) -> DataFrame:
+    return docs.select(*keep, F.col("text").cast("string").alias("text"))
 
 
 def all_segments(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+    def run(_: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         text, first, n, anchor, content = segments(Chunk(texts), window, rounds)
-        tags = np.array([_tag(t or b"") for t in texts], np.int64)
-        columns = [batch.column("doc_id").take(pa.array(text)), *(pa.array(x.view(np.int64)) for x in (anchor, content)), pa.array(packed(tags[text], first, n))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "anchor", "content", "place"])
+        own = text_keys(texts)[text]
+        columns = [own[:, 0].copy(), own[:, 1].copy(), anchor.view(np.int64), content.view(np.int64), packed(first, n)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [x.split()[0] for x in SEGMENT.split(", ")])
 
     common.prepare(docs.sparkSession)
-    return common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(common.per_chunk(run), SEGMENT)
+    return _text(docs).mapInArrow(common.per_chunk(run), SEGMENT)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """The documents with their texts compressed, to be dealt out by doc_id."""
-    rest = [c for c in docs.columns if c != "text"]
-    typed = docs.select(*rest, F.col("text").cast("string").alias("text"))
-    out = typed.select(*rest, F.col("text").cast("binary").alias("text")).schema
+    """docs with k0 and k1 and with the text compressed, to be dealt out by them; no other column has these names."""
+    out = docs.withColumn("text", F.col("text").cast("binary")).withColumns({k: F.lit(0).cast("long") for k in KEY}).schema
 
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
             k = b.schema.get_field_index("text")
-            z = [None if t is None else zip_.compress(t) for t in b.column(k).cast(pa.binary()).to_pylist()]
-            yield b.set_column(k, "text", pa.array(z, pa.binary()))
+            texts = b.column(k).cast(pa.binary()).to_pylist()
+            b = b.set_column(k, "text", pa.array([None if t is None else zip_.compress(t) for t in texts], pa.binary()))
+            for name, column in zip(KEY, text_keys(texts).T):
+                b = b.append_column(name, pa.array(column.copy()))
+            yield b
 
-    return typed.mapInArrow(run, out)
+    return docs.mapInArrow(run, out)
 
 
 def _unzipped(batch: pa.RecordBatch) -> list[bytes | None]:
@@ -235,82 +248,69 @@ def _bounded(batch: pa.RecordBatch):
         yield batch.slice(start)
 
 
-WINDOWS = "anchor long, content long, doc_id long, place long"
-
-
-def single_windows(found: DataFrame, window: int) -> DataFrame:
-    """The windows, one by one, of segments: found has doc_id, compressed text, segments (array of place and anchor)."""
+def single_windows(held: DataFrame, window: int) -> DataFrame:
+    """The windows, one by one, of segments: held has k0, k1, compressed text, segments (array of place and anchor)."""
 
     def run(batches):
         for whole in batches:
             for b in _bounded(whole):
-                texts = _unzipped(b)
-                chunk = Chunk(texts)
+                chunk = Chunk(_unzipped(b))
+                keys = np.stack([b.column(k).to_numpy() for k in KEY])
                 rows: list[tuple[np.ndarray, ...]] = []
-                ids = b.column("doc_id").to_pylist()
-                taken: list = []
                 for i, own in enumerate(b.column("segments")):
-                    own = own.values.flatten()
-                    place, anchor = own[0].to_numpy(), own[1].to_numpy()
-                    tag, first, n, lonely = unpacked(place)
-                    fits = tag == _tag(texts[i] or b"")
-                    tag, first, n, lonely, anchor = (x[fits] for x in (tag, first, n, lonely, anchor))
+                    place, anchor = (x.to_numpy() for x in own.values.flatten())
+                    first, n, lonely = unpacked(place)
                     each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
                     at = each + chunk.base[i]
-                    rows.append((np.repeat(anchor, n), chunk.content(at, at + window).view(np.int64), packed(np.repeat(tag, n), each, np.ones(len(each), np.int64)) | np.repeat(lonely, n)))
-                    taken += [ids[i]] * len(each)
-                if taken:
-                    anchor, content, place = (np.concatenate(x) for x in zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content), pa.array(taken, pa.int64()), pa.array(place)], ["anchor", "content", "doc_id", "place"])
+                    rows.append((*np.repeat(keys[:, i : i + 1], len(each), 1), np.repeat(anchor, n), chunk.content(at, at + window).view(np.int64), packed(each, 1, np.repeat(lonely, n))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], [x.split()[0] for x in SEGMENT.split(", ")])
 
-    return found.mapInArrow(run, WINDOWS)
+    return held.select(*KEY, "text", "segments").mapInArrow(run, SEGMENT)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id and places (packed stretches of windows that occur elsewhere, too)."""
+    """k0, k1 and places (packed stretches of windows that occur elsewhere, too) of texts that have any."""
     if not 1 <= window < 64:
         raise ValueError("a window has 1 to 63 words")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = common.table(all_segments(ids, window, rounds))
-    # Counts are written before they are joined: a join right behind an aggregation could not split a hot key.
+    # What an aggregation gives is written before it is joined: a join right behind one could not split a hot key.
+    kind = ["anchor", "content"]
+    every = common.table(all_segments(docs, window, rounds))
     several = common.table(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     shared = common.table(every.join(several, "anchor", "left_semi"))
-    common.forget(every)
-    kinds = common.table(shared.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("one")))
-    whole = shared.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc_id", "place")
+    common.forget(every, several)
+    kinds = common.table(shared.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("one")))
     mixed = common.table(kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
-    ones = kinds.join(mixed, "anchor", "left_semi").select("one.doc_id", F.when(F.col("n") == 1, F.col("one.place").bitwiseOR(F.lit(1).cast("long"))).otherwise(F.col("one.place")).alias("place"), "anchor")
-    by_doc = ones.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("place", "anchor")).alias("segments"))
-    held = compressed(ids).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "segments")
+    lone = F.when(F.col("n") == 1, F.lit(1)).otherwise(0).cast("long")
+    ones = kinds.join(mixed, "anchor", "left_semi").select(*(f"one.{k}" for k in KEY), F.struct(F.col("one.place").bitwiseOR(lone).alias("place"), "anchor").alias("segment"))
+    # At most one segment a kind, and no more of a text than it has itself.
+    by_text = common.table(ones.groupBy(*KEY).agg(F.collect_list("segment").alias("segments")))
+    held = compressed(_text(docs)).join(by_text, KEY)
     windows = common.table(single_windows(held, window).distinct())
     lonely = F.col("place").bitwiseAND(F.lit(1).cast("long")) == 1
-    again = common.table(windows.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max(lonely).alias("some")).where("n > 1 and some").select("anchor", "content"))
-    parts = windows.where(lonely).join(again, ["anchor", "content"], "left_semi").select("doc_id", "place")
-    return whole.unionByName(parts).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-
-
-def _cover(n: int, places: np.ndarray, tag: int, window: int) -> np.ndarray:
-    """True for the words of a text of n words that a repeated window covers."""
-    edge = np.zeros(n + 1, np.int64)
-    tags, first, count, _ = unpacked(places)
-    own = tags == tag
-    np.add.at(edge, first[own], 1)
-    np.add.at(edge, first[own] + count[own] - 1 + window, -1)
-    return np.cumsum(edge[:-1]) > 0
+    again = common.table(windows.groupBy(*kind).agg(F.count("*").alias("n"), F.max(lonely).alias("some")).where("n > 1 and some").select(*kind))
+    whole = shared.join(kinds.where("n > 1").select(*kind), kind, "left_semi").select(*KEY, "place")
+    parts = windows.where(lonely).join(again, kind, "left_semi").select(*KEY, "place")
+    found = common.table(whole.unionByName(parts).groupBy(*KEY).agg(F.collect_set("place").alias("places")))
+    common.forget(shared, kinds, mixed, by_text, windows, again)
+    return found
 
 
 def _kept(text: bytes | None, places: np.ndarray | None, window: int) -> tuple[list[bytes], list[bytes]]:
-    """All words, and those that stay."""
+    """All words, and those that no repeated window covers."""
     words = (text or b"").split()
-    if places is None or len(words) < window:
+    if places is None:
         return words, words
-    gone = _cover(len(words), places, _tag(text or b""), window)
+    edge = np.zeros(len(words) + 1, np.int64)
+    first, count, _ = unpacked(places)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + count - 1 + window, -1)
+    gone = np.cumsum(edge[:-1]) > 0
     return words, [w for w, g in zip(words, gone.tolist()) if not g]
 
 
 def _with_places(docs: DataFrame, window: int, rounds: int) -> DataFrame:
-    found = repeats(docs, window, rounds).withColumnRenamed("doc_id", "_id")
-    return compressed(docs).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    """docs (a column of any name and the text) compressed, with the places of their repeated windows."""
+    return compressed(docs).join(repeats(docs, window, rounds), KEY, "left").drop(*KEY)
 
 
 def _places(batch: pa.RecordBatch) -> list[np.ndarray | None]:
@@ -333,16 +333,13 @@ def digests(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*[pa.int64()] * 3, pa.string()])], [x.split()[0] for x in KEPT.split(", ")])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_places(ids, window, rounds).mapInArrow(run, KEPT)
+    return _with_places(_text(docs, common.doc_id()), window, rounds).mapInArrow(run, KEPT)
 
 
 def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """The documents without their repeated windows; a text that loses words has the others joined by one space."""
-    rest = [c for c in docs.columns if c != "text"]
     # All other columns travel in one, so that no name can clash.
-    boxed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*rest).alias("box"), F.col("text").cast("string").alias("text"))
-    schema = boxed.select("box", "text").schema
+    boxed = _text(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("box"))
 
     def run(batches):
         for whole in batches:
@@ -353,7 +350,7 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                     texts.append(text if text is None or len(kept) == len(words) else b" ".join(kept))
                 yield pa.RecordBatch.from_arrays([b.column("box"), pa.array(texts, pa.binary()).cast(pa.string())], ["box", "text"])
 
-    found = _with_places(boxed, window, rounds).mapInArrow(run, schema)
+    found = _with_places(boxed, window, rounds).mapInArrow(run, boxed.schema)
     return found.select(*(F.col("text") if c == "text" else F.col(f"box.`{c}`") for c in docs.columns))
 
 
