@@ -2,25 +2,30 @@
 
 A fingerprint of 64 bits is 8 positional bytes. Fingerprints that differ in at most k bits
 differ in at most k bytes, so they share at least 8 - k positional bytes: the guaranteed
-minimum. A posting list of one byte holds a 256th of all fingerprints, and tallying
-pairs from such lists grows with the square of the corpus. The index therefore stores
-the intersections directly: a posting for each choice of 8 - k positions with their bytes.
-Two fingerprints meet in a posting exactly if their tally of shared bytes reaches the
-minimum. Within a posting only k bytes differ, so it never holds more than 256^k distinct
-fingerprints; the verified links of a posting go out as a spanning forest, which is
-linear in its size and loses no connection. Components join by alternating large and
-small stars.
+minimum. Posting lists of one byte would hold a 256th of all fingerprints each; the index
+therefore takes several positional bytes to a posting. The positions are split into k + 2 blocks, and a fingerprint has
+a posting for each two of them: k bytes spoil k blocks at most, so two are whole, and pairs that share
+the minimum meet in a posting. There the shared positional bytes of each pair are tallied,
+pairs that reach the minimum are retained, and their bits are verified.
+
+Postings are counted before they are gathered. A posting of more than LIST fingerprints, as
+thousands of near copies make, is not gathered: its fingerprints go to a finer index with
+a posting for each choice of 8 - k positions, where to meet is to share the minimum. Only k bytes differ within such a posting, so it never
+holds more than 256^k distinct fingerprints, and each looks up its neighbours. The links of a
+posting go out as a star to the smallest of those that hang together, which is linear in its size and loses no
+connection. Components join by alternating large and small stars.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; a
-text of fewer words than a shingle is one shingle; a null doc_id takes part but is never
-the smallest unless it is alone, then its component is null; repeated rows are
+text of fewer words than a shingle is one shingle; very long texts are hashed whole, 2 bytes of
+memory a byte of text; a null doc_id, or one that is no number, takes part but is never
+the smallest unless it is alone, then its component is null; a bit set in exactly half of the hashes is 0; repeated rows are
 repeated; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Fingerprints of a posting that are gathered and compared by pairs.
+LIST = 512
+
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -55,6 +63,12 @@ def fingerprints_of(texts: list[bytes | None], shingle: int = 3, seed: int = 42)
     return out
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of one list of unsigned 64-bit hashes."""
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, tag (a hash that tells texts apart) and fp, the fingerprint as a signed long."""
 
@@ -63,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fp)], ["doc_id", "tag", "fp"])
 
     common.prepare(docs.sparkSession)
-    tagged = common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
+    tagged = common.with_text(docs, common.doc_id(), F.xxhash64(F.col("text").cast("string")).alias("tag"))
     return tagged.mapInArrow(common.per_chunk(run), "doc_id long, tag long, fp long")
 
 
@@ -71,66 +85,102 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def postings(fps: DataFrame, distance: int) -> DataFrame:
-    """The distinct fingerprints of each posting that holds several; fps: distinct fp."""
-    free = list(itertools.combinations(range(8), distance))
-    masks = [_signed(~sum(0xFF << 8 * k for k in ks) & (1 << 64) - 1) for ks in free]
-    each = F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(masks))))
-    keyed = fps.select("fp", each.alias("p")).select("p.choice", "p.shared", "fp")
-    return keyed.groupBy("choice", "shared").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+def _mask(positions) -> int:
+    return _signed(sum(0xFF << 8 * int(k) for k in positions))
+
+
+def coarse_masks(distance: int) -> list[int]:
+    """Two of distance + 2 blocks of positions each."""
+    blocks = np.array_split(np.arange(8), distance + 2)
+    return [_mask([*x, *y]) for x, y in itertools.combinations(blocks, 2)]
+
+
+def fine_masks(distance: int) -> list[int]:
+    """All but `distance` positions each."""
+    return [_mask(x) for x in itertools.combinations(range(8), 8 - distance)]
 
 
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges (smaller, larger) that join all of fps that hang together by links of at most `distance` bits."""
+def postings(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """choice, shared (the bytes at its positions), fp: a row for each fingerprint and mask; fps: distinct fp."""
+    each = F.explode(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(masks))))
+    return fps.select("fp", each.alias("p")).select("p.choice", "p.shared", "fp")
+
+
+def retained(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a posting that share the guaranteed minimum of positional bytes and pass the verification."""
+    if len(fps) <= LIST:
+        own = fps.view(np.uint8).reshape(-1, 8)
+        tally = (own[:, None, :] == own[None, :, :]).sum(2)
+        i, j = np.nonzero(np.triu(tally >= 8 - distance, 1))
+        near = np.bitwise_count(fps[i].view(np.uint64) ^ fps[j].view(np.uint64)) <= distance
+        return i[near], j[near]
+    # A large posting, sorted: look up the neighbours of each, a fixed number.
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0])) & (1 << 64) - 1
+    bits = [k for k in range(64) if differ >> k & 1]
+    pairs = []
+    for n in range(1, distance + 1):
+        for ks in itertools.combinations(bits, n):
+            other = fps ^ np.int64(_signed(sum(1 << k for k in ks)))
+            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+            i = np.flatnonzero((fps[at] == other) & (other > fps))
+            pairs.append((i, at[i]))
+    return tuple(map(np.concatenate, zip(*pairs)))
+
+
+def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest, other) that join all of fps that hang together by links of at most `distance` bits."""
     fps = np.sort(fps)
-    n = len(fps)
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        root[max(a, b)] = min(a, b)
-
-    if n <= 512:
-        u = fps.view(np.uint64)
-        for i in range(n - 1):
-            for j in np.flatnonzero(np.bitwise_count(u[i + 1 :] ^ u[i]) <= distance).tolist():
-                join(i, i + 1 + j)
-    else:  # a large posting: look up the neighbours of each, a fixed number
-        place = {x: i for i, x in enumerate(fps.tolist())}
-        differ = reduce(lambda a, x: a | (x ^ int(fps[0])), place, 0) & (1 << 64) - 1
-        bits = [k for k in range(64) if differ >> k & 1]
-        near = [_signed(sum(1 << k for k in ks)) for r in range(1, distance + 1) for ks in itertools.combinations(bits, r)]
-        for x, i in place.items():
-            for d in near:
-                j = place.get(x ^ d)
-                if j is not None and j > i:
-                    join(i, j)
-    return [(int(fps[find(i)]), int(fps[i])) for i in range(n) if find(i) != i]
+    i, j = retained(fps, distance)
+    root = np.arange(len(fps))
+    while len(i):
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    other = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[root[other]], fps[other]
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """Edges u < v between distinct fingerprints: enough to join all that hang together by links."""
+def _gathered(rows: DataFrame, distance: int) -> DataFrame:
+    """Links (u, v) of postings that may be gathered."""
 
     def run(batches):
         for batch in batches:
-            edges = [e for row in batch.column("fps") for e in forest(row.values.to_numpy(), distance)]
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["u", "v"])
+            edges = [forest(row.values.to_numpy(), distance) for row in batch.column("fps")]
+            u, v = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return rows.groupBy("choice", "shared").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(run, "u long, v long")
 
-    return postings(fps, distance).mapInArrow(run, "u long, v long").distinct()
+
+def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+    """Edges u < v between distinct fingerprints: enough to join all that hang together by links. fps: distinct fp, to be read several times."""
+    if not 0 <= distance <= 3:
+        raise ValueError("a distance is of 0 to 3 bits")
+    key = ["choice", "shared"]
+
+    coarse = postings(fps, coarse_masks(distance))
+    counts = common.checkpoint(coarse.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    few = coarse.join(counts.where(F.col("n") <= LIST).select(*key), key, "left_semi")
+    crowded = counts.where(F.col("n") > LIST)
+    found = _gathered(few, distance)
+    if not crowded.isEmpty():
+        many = common.checkpoint(coarse.join(crowded.select(*key), key, "left_semi").select("fp").distinct())
+        fine = postings(many, fine_masks(distance))
+        several = common.checkpoint(fine.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+        found = found.unionByName(_gathered(fine.join(several, key, "left_semi"), distance))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node) for every node of edges (u, v).
 
-    Alternating large and small stars: minima and joins only, so a node with very many
-    neighbours is aggregated before it moves and never gathered.
+    Alternating large and small stars: minima and joins only. Minima are written before
+    they are joined, so that the edges of a node with very many neighbours, as the root of a
+    whole component, are an ordinary skewed join that Spark splits.
     """
     edges = common.checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -140,9 +190,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = mark(edges)
     while now[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = common.checkpoint(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small_least = common.checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         to_least = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.checkpoint(to_least.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
         before, now = now, mark(edges)
@@ -154,11 +204,17 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, tag, fp, root (the smallest fingerprint that links reach), component_id of every document."""
     rows = common.table(fingerprints(docs, shingle, seed))
-    per = common.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(per.select("fp"), distance))
-    rooted = per.join(roots, per.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(of_root, "root").select("fp", "root", "component_id"), "fp")
+    # Dealt out again: what adaptive execution has made few partitions of grows by the postings.
+    per = common.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition("fp"))
+    return rows.join(roots_of(per, "fp", components(links(per.select("fp"), distance))), "fp")
+
+
+def roots_of(per: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """node, root and component_id of each node; per has every node with its least doc_id, roots those that are linked."""
+    lonely = common.checkpoint(per.join(roots, F.col(node) == F.col("node"), "left").select(node, "least", F.coalesce("root", node).alias("root")))
+    # A minimum a component, written before it is joined: one component may hold a third of all nodes.
+    of_root = common.checkpoint(lonely.groupBy("root").agg(F.min("least").alias("component_id")))
+    return lonely.join(of_root, "root").select(node, "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -181,7 +237,7 @@ def first_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     stay = common.checkpoint(found.groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("tag").alias("_tag")))
     rows = found.join(stay.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & (F.col("tag") == F.col("_tag")))
     stay = common.checkpoint(rows.groupBy("_id", "_tag").count())
-    same = docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"].cast("string")) == stay["_tag"])
+    same = docs["doc_id"].try_cast("long").eqNullSafe(stay["_id"]) & (F.xxhash64(docs["text"].cast("string")) == stay["_tag"])
     kept = docs.join(stay, same, "left_semi")
     # Only rows that are the same in id and text are left to tell apart.
     return kept if stay.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
