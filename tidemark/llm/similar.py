@@ -1,20 +1,24 @@
-"""Near-duplicates by exact similarity: the share of 5-word shingles that two texts have in common of all they have.
+"""SimHash near-duplicates at a similarity: links are pairs of texts whose 5-word shingles have 4/5 in common of all they have.
 
-Texts are linked if that share (Jaccard, of distinct shingles) is 4/5 at least. No pair is missed: in
-any one order of all shingles, two such sets meet in the first `n - ceil(4n/5) + 1` of each,
-its prefix. The order puts shingles that a bounded sample of texts shares last, rarest first, so that
+The byte index of simhash.py finds fingerprints (here of 5-word shingles) of 2 bits apart or less, but texts of such a similarity
+(Jaccard, of distinct shingles) differ in 3 to 11 bits as a rule, which no eight bytes can promise to show.
+So what the index finds is verified by the shingles, and the search is completed so that no pair is missed: in
+any one order of all shingles, two sets that are alike meet in the first `n - ceil(4n/5) + 1` of each,
+their prefixes. The order puts shingles that a bounded sample of texts shares last, rarest first, so that
 common lines are in few prefixes; what the sample holds changes the work only, never the result.
 
-1. Each key (a shingle in prefixes) links its texts to its smallest one: as many candidates as postings.
+1. Candidates are, for each text, the smallest of its component in the byte index, and the smallest text of all
+   keys (shingles in prefixes) that it has: two pairs a text.
 2. Candidates are held to the sizes and to parity bits, which differ in no more places than the sets do: first 256,
    then about as many as a text has shingles. What is left is held to the shingles of the texts themselves.
-3. Where a key's texts hang together now, nothing is left to find. Other keys give their pairs of
+3. Each key links those of its texts to its smallest one that are of another component by now, verified alike.
+4. Where a key's texts hang together now, nothing is left to find. Other keys give their pairs of
    texts of different components, held to the same bounds within the join.
 
 Components join as in simhash.
 
 Defined results: null and wordless texts have no shingles and are alike; a text of fewer words than a
-shingle is one shingle; ids, repeated rows and empty tables as in simhash.
+shingle is one shingle; very long texts are compared whole; ids, repeated rows, ties and empty tables as in simhash.
 """
 
 from __future__ import annotations
@@ -91,20 +95,21 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
 
 def sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, tag (a hash of the text), mark (a hash of its shingles), n, s0 to s3 (parity bits), bits (more of them) and keys, the prefix."""
+    """doc_id, tag (a hash of the text), mark (a hash of its shingles), fp (their fingerprint), n, s0 to s3 (parity bits), bits (more of them) and keys, the prefix."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         found = [shingles(t) for t in texts]
         mark = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
+        fp = np.array([simhash.majority(s) for s in found], np.uint64).view(np.int64)
         bits = [np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64) for s in found]
         keys = [prefix(s, *often).view(np.int64) for s in found]
         ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(mark), pa.array([len(s) for s in found], pa.int32()), *map(pa.array, np.array(bits).T.copy()), pa.array([parity(s).tobytes() for s in found], pa.binary()), lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "mark", "n", "s0", "s1", "s2", "s3", "bits", "keys"])
+        columns = [batch.column("doc_id"), batch.column("tag"), pa.array(mark), pa.array(fp), pa.array([len(s) for s in found], pa.int32()), *map(pa.array, np.array(bits).T.copy()), pa.array([parity(s).tobytes() for s in found], pa.binary()), lists]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "mark", "fp", "n", "s0", "s1", "s2", "s3", "bits", "keys"])
 
-    tagged = common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tag"))
-    return tagged.mapInArrow(common.per_chunk(run), "doc_id long, tag long, mark long, n int, s0 long, s1 long, s2 long, s3 long, bits binary, keys array<long>")
+    tagged = common.with_text(docs, common.doc_id(), F.xxhash64(F.col("text").cast("string")).alias("tag"))
+    return tagged.mapInArrow(common.per_chunk(run), "doc_id long, tag long, mark long, fp long, n int, s0 long, s1 long, s2 long, s3 long, bits binary, keys array<long>")
 
 
 def may_be_alike(a: str, b: str) -> Column:
@@ -118,14 +123,14 @@ def verified(docs: DataFrame, uniq: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (u, v) of marks whose texts are alike."""
     facts = uniq.select("mark", "n", "s0", "s1", "s2", "s3")
     left = pairs.join(facts.alias("a"), F.col("u") == F.col("a.mark")).join(facts.alias("b"), F.col("v") == F.col("b.mark")).where(may_be_alike("a", "b"))
-    left = common.table(left.select("u", "v", (F.col("a.n") + F.col("b.n")).alias("both")))
+    first = common.table(left.select("u", "v", (F.col("a.n") + F.col("b.n")).alias("both")))
 
     def near(batches):
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("bu", "bv", "both"))
             yield batch.select(["u", "v"]).filter(pa.array([9 * least_difference(x, y) <= n for x, y, n in zip(*columns)], pa.bool_()))
 
-    with_bits = left.join(uniq.select(F.col("mark").alias("u"), F.col("bits").alias("bu")), "u")
+    with_bits = first.join(uniq.select(F.col("mark").alias("u"), F.col("bits").alias("bu")), "u")
     with_bits = with_bits.join(uniq.select(F.col("mark").alias("v"), F.col("bits").alias("bv")), "v")
     left = common.table(with_bits.select("u", "v", "both", "bu", "bv").mapInArrow(near, "u long, v long"))
     both = left.select("u").union(left.select("v")).distinct().withColumnRenamed("u", "mark")
@@ -152,37 +157,55 @@ def verified(docs: DataFrame, uniq: DataFrame, pairs: DataFrame) -> DataFrame:
 
     one = left.join(texts.select(F.col("mark").alias("u"), F.col("text").alias("tu")), "u")
     two = one.join(texts.select(F.col("mark").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")
-    return common.checkpoint(two.mapInArrow(run, "u long, v long"))
+    out = common.checkpoint(two.mapInArrow(run, "u long, v long"))
+    common.forget(first, left, texts)
+    return out
+
+
+def indexed(uniq: DataFrame) -> DataFrame:
+    """Pairs (u, v) of marks: each with the smallest of its component in the byte index of fingerprints."""
+    fps = common.checkpoint(uniq.groupBy("fp").agg(F.min("mark").alias("least")))
+    linked = simhash.roots_of(fps, "fp", simhash.components(simhash.links(fps.select("fp")))).select("fp", F.col("component_id").alias("u"))
+    return uniq.select("mark", "fp").join(linked, "fp").where("mark <> u").select("u", F.col("mark").alias("v"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, tag, root (the smallest mark that links reach), component_id of every document."""
     common.prepare(docs.sparkSession)
     rows = common.table(sets(docs, common_shingles(docs, docs.count())))
-    uniq = common.table(rows.groupBy("mark").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("tag", "n", "s0", "s1", "s2", "s3", "bits", "keys"))))
+    uniq = common.table(rows.groupBy("mark").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("tag", "fp", "n", "s0", "s1", "s2", "s3", "bits", "keys"))))
     slim = common.table(rows.select("doc_id", "tag", "mark"))
     common.forget(rows)
     postings = uniq.select("mark", F.explode("keys").alias("key"))
-    hubs = postings.groupBy("key").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last")
-    shared = common.table(postings.join(hubs.drop("last"), "key"))
-    edges = verified(docs, uniq, shared.where("mark <> hub").select(F.col("hub").alias("u"), F.col("mark").alias("v")).distinct())
+    hubs = common.table(postings.groupBy("key").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last").select("key", "hub"))
+    shared = common.table(postings.join(hubs, "key"))
+    mine = shared.where("mark <> hub").groupBy(F.col("mark").alias("v")).agg(F.min("hub").alias("u")).select("u", "v")
+    edges = verified(docs, uniq, mine.unionByName(indexed(uniq)).distinct())
+
+    def placed(roots: DataFrame, mark: str) -> DataFrame:
+        """With comp, the component of a mark."""
+        return roots.select(F.col("node").alias(mark), F.col("root").alias("comp"))
+
+    # Texts that are of another component than the smallest of one of their keys.
+    roots = simhash.components(edges)
+    at = shared.join(placed(roots, "mark"), "mark", "left").withColumn("comp", F.coalesce("comp", "mark"))
+    of_hub = common.checkpoint(hubs.join(placed(roots, "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("hub_comp")))
+    more = verified(docs, uniq, at.join(of_hub, "key").where("comp <> hub_comp").select(F.col("hub").alias("u"), F.col("mark").alias("v")).distinct())
+    edges = edges.unionByName(more)
     roots = simhash.components(edges)
 
     # Keys whose texts are of several components: the pairs that no hub was part of.
-    at = shared.join(roots, F.col("mark") == F.col("node"), "left").select("key", "mark", "hub", F.coalesce("root", "mark").alias("comp"))
-    at = common.table(at)
-    open_keys = at.where("mark <> hub").groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    facts = uniq.select("mark", "n", "s0", "s1", "s2", "s3")
-    rest = common.table(at.where("mark <> hub").join(open_keys, "key", "left_semi").join(facts, "mark"))
+    at = common.table(shared.join(placed(roots, "mark"), "mark", "left").select("key", "mark", "hub", F.coalesce("comp", "mark").alias("comp")).where("mark <> hub"))
+    open_keys = common.checkpoint(at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"))
+    rest = common.table(at.join(open_keys, "key", "left_semi").join(uniq.select("mark", "n", "s0", "s1", "s2", "s3"), "mark"))
     a, b = rest.alias("a"), rest.alias("b")
     more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.comp") != F.col("b.comp")) & may_be_alike("a", "b"))
     more = verified(docs, uniq, more.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct())
     if not more.isEmpty():
         roots = simhash.components(edges.unionByName(more))
-
-    rooted = uniq.join(roots, uniq.mark == roots.node, "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
-    of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return slim.join(rooted.join(of_root, "root").select("mark", "root", "component_id"), "mark")
+    found = common.table(simhash.roots_of(uniq.select("mark", "least"), "mark", roots))
+    common.forget(uniq, hubs, shared, at, rest)
+    return slim.join(found, "mark")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
