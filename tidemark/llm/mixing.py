@@ -4,106 +4,141 @@ Words are summed per source; targets share a budget by weight, and a source whos
 passes its cap stops there while the excess is shared again among the others. The rate of
 a source is its target over its words. A document is taken floor(rate) times, plus one
 copy if its hash-seeded draw falls below the fraction of the rate. The draw of a document
-depends on nothing but the document. A source's threshold is read off its own draws (the words
+depends on nothing but the document. A source's thresholds are read off its own draws (the words
 below each of 2^12 steps of the draw) at the step where the extra words come
-nearest to the fraction, so that heavy-tailed sources keep to their targets.
+nearest to what the fraction asks for: first for documents of a LARGE-th of the source or more, then, with what those leave to
+be taken, for the others, so that heavy-tailed sources keep to their targets.
 
-Defined results: a null text has size 0; null sources are one source, the last; a source
-without words has target 0 and is taken 0 times; a null doc_id draws like any other value;
-repeated rows draw alike; an empty table gives no rows; other columns are ignored.
+Defined results: a null text has size 0, very long texts count whole; null sources are one source, the last; a source
+without words has target 0 and is taken 0 times; a null doc_id, or one that is no number, draws like any other value;
+repeated rows draw alike; of steps that come equally near the first counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-STEPS, SALTS, BROADCAST_SOURCES = 4096, 32, 10_000
+STEPS, LARGE, BROADCAST_SOURCES = 4096, 32, 10_000
 #: Weights of the sources, by code point of their names, repeated.
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP = 1.5, 2.0
 
 
+def ranked(per: DataFrame) -> DataFrame:
+    """per, a row a source, with rank: its place from 0 by code point, null last; from a sort in ranges and the counts of its parts."""
+    order = F.col("source").asc_nulls_last()
+    marked = per.repartitionByRange(order).sortWithinPartitions(order).withColumns({"part": F.spark_partition_id(), "mono": F.monotonically_increasing_id()})
+    marked = common.checkpoint(marked)
+    shifts, total = [], 0
+    for r in marked.groupBy("part").agg(F.count("*").alias("n"), F.min("mono").alias("m")).orderBy("part").collect():  # a row a partition
+        shifts += [F.lit(r.part), F.lit(total - r.m).cast("long")]
+        total += r.n
+    shift = F.element_at(F.create_map(*shifts), F.col("part")) if shifts else F.lit(0)
+    return marked.withColumn("rank", (shift + F.col("mono")).cast("long")).drop("part", "mono")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """source, source_size, weight, target from a table with source and size.
 
-    Shares are proportional to weight below the caps. With the sources by rising
-    cap over weight, those that stop at their cap come first, so running sums give the
-    level of the rest without a loop.
+    Shares below the caps are one level times the weight. The level rises, one aggregation a
+    step, by what the sources above their caps leave over, until no other source passes its cap.
     """
-    # One row a source from here on: the windows without partitions see that table only.
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double"))
-    per = per.withColumn("most", F.col("source_size") * F.lit(float(cap)))
-    per = per.withColumn("ratio", F.col("most") / F.col("weight"))
-    whole = Window.partitionBy(F.lit(0))
-    rising = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("source").asc_nulls_last())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("nth", F.row_number().over(rising))
-    per = per.withColumn("total", F.sum("source_size").over(whole) * F.lit(float(budget)))
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # The level of the rest: the first that its own source does not pass.
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("nth", "level"))).over(whole)
-    per = per.withColumn("final", first["level"])
-    target = F.when(F.col("final").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("final") * F.col("weight")))
+    per = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double")
+    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(float(cap)))
+    words, whole = per.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, full = None, -1
+    while words is not None:
+        over = F.lit(False) if level is None else F.col("most") < F.lit(level) * F.col("weight")
+        n, stopped, heavy = per.where(over).agg(F.count("*"), F.coalesce(F.sum("most"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if n == full or heavy == whole:
+            break
+        level, full = (words * float(budget) - stopped) / (whole - heavy), n
+    target = F.col("most") if level is None else F.least(F.col("most"), F.lit(level) * F.col("weight"))
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def draw() -> F.Column:
+def draw() -> Column:
     """0 to 2^32 - 1 from the document alone."""
     seed = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":mix"))
     return F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, *keep: str) -> DataFrame:
+def sized(docs: DataFrame, *keep: str | Column) -> DataFrame:
+    """keep, source, size, draw."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*keep, F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("_size"))
+    return docs.select(*keep, F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size"), draw().alias("draw"))
+
+
+def _bits(size: Column) -> Column:
+    return F.length(F.bin(size))
+
+
+def _large(bits: Column) -> Column:
+    """Whether sizes of so many bits are a LARGE-th of their source at least."""
+    return F.pow(F.lit(2.0), bits - 1) * LARGE >= F.col("source_size")
 
 
 def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
-    """source, source_size, target, whole copies, and the draw below which one more is taken.
+    """source, source_size, target, whole copies, and the draws below which a large document, and another, is taken once more.
 
     sizes: source, size, draw.
     """
     rates = targets(sizes, weights, budget, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rates = rates.withColumn("whole", F.floor("rate")).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    # At most STEPS rows a source, whatever its documents.
+    rates = common.checkpoint(rates)
+    # At most STEPS rows a source and number of bits, whatever its documents.
     width = (1 << 32) // STEPS
-    steps = sizes.groupBy("source", F.expr(f"draw div {width}").alias("step")).agg(F.sum("size").alias("words"))
-    steps = steps.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("step")))
-    near = steps.withColumnsRenamed({"source": "s"}).join(rates.select("source", "extra"), F.col("s").eqNullSafe(F.col("source")))
-    near = near.groupBy("s").agg(F.min_by("step", F.struct(F.abs(F.col("upto") - F.col("extra")), F.col("step"))).alias("step"), F.min(F.abs(F.col("upto") - F.col("extra"))).alias("off"))
-    joined = rates.join(near, F.col("s").eqNullSafe(F.col("source")), "left")
-    below = F.when(F.col("off") < F.col("extra"), (F.col("step") + 1) * width).otherwise(F.lit(0))
-    return joined.select("source", "source_size", "target", F.col("whole").alias("copies"), below.cast("long").alias("below"))
+    steps = sizes.groupBy("source", _bits(F.col("size")).alias("bits"), F.expr(f"draw div {width}").alias("step")).agg(F.sum("size").alias("words"))
+    same = F.col("s").eqNullSafe(F.col("source"))
+    known = rates.select(F.col("source").alias("s"), "source_size", "extra")
+    steps = steps.join(known, same).groupBy("source", _large(F.col("bits")).alias("large"), "step", "source_size", "extra").agg(F.sum("words").alias("words"))
+    kind = Window.partitionBy("source", "large")
+    upto = steps.withColumn("upto", F.sum("words").over(kind.orderBy("step"))).withColumn("words", F.sum("words").over(kind))
+    upto = common.checkpoint(upto)
+
+    def nearest(rows: DataFrame, goal: Column) -> DataFrame:
+        """s, step, upto and off of the step that comes nearest to the goal."""
+        off = F.abs(F.col("upto") - goal)
+        near = F.struct(off, F.col("step"))
+        return rows.groupBy(F.col("source").alias("s")).agg(F.min_by("step", near).alias("step"), F.min_by("upto", near).alias("upto"), F.min(off).alias("off"), F.first(goal).alias("goal"))
+
+    some = F.col("off") < F.col("goal")
+    below = F.when(some, (F.col("step") + 1) * width).otherwise(F.lit(0)).cast("long")
+    goal = F.col("extra") * F.col("words") / F.col("source_size")
+    large = rates.join(nearest(upto.where("large and source_size > 0"), goal), same, "left")
+    large = large.select("source", "source_size", "target", "whole", below.alias("below_large"), (F.col("extra") - F.when(some, F.col("upto")).otherwise(F.lit(0))).alias("rest"))
+    large = common.checkpoint(large)
+    left = large.select(F.col("source").alias("s"), "rest")
+    others = large.join(nearest(upto.where("not large").join(left, same), F.col("rest")), same, "left")
+    return others.select("source", "source_size", "target", F.col("whole").alias("copies"), "below_large", below.alias("below"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of every document."""
-    rows = common.checkpoint(sized(docs, "doc_id").select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), draw().alias("draw")))
+    rows = common.checkpoint(sized(docs, common.doc_id()))
     limits = common.checkpoint(thresholds(rows, weights, budget, cap))
     return _taken(rows, limits).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def _taken(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """rows with the limits of their source, and how often each is taken; limits are a checkpointed table."""
+    """rows with the limits of their source, and how often each is taken; limits are a checkpointed table.
+
+    Beyond BROADCAST_SOURCES this is a join of two tables as they stand, whose hot sources Spark splits.
+    """
+    few = limits.count() <= BROADCAST_SOURCES
     limits = limits.withColumnRenamed("source", "_s")
-    same = F.col("source").eqNullSafe(F.col("_s"))
-    if limits.count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(limits), same)
-    else:  # a hot source is spread over SALTS keys; the limits, a row a source, are repeated for each
-        limits = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = rows.join(limits, same & (F.col("draw") % SALTS == F.col("_salt"))).drop("_salt")
-    return joined.withColumn("copies", F.col("copies") + (F.col("draw") < F.col("below")).cast("long"))
+    joined = rows.join(F.broadcast(limits) if few else limits, F.col("source").eqNullSafe(F.col("_s")))
+    below = F.when(_large(_bits(F.col("size"))), F.col("below_large")).otherwise(F.col("below"))
+    return joined.withColumn("copies", F.col("copies") + (F.col("draw") < below).cast("long"))
 
 
 def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
     """The mixture itself: every document as often as it is taken, with the columns it came with."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text")
-    sizes = sized(rows, "_row", "doc_id").select("_row", F.col("_source").alias("source"), F.col("_size").alias("size"), draw().alias("draw"))
+    sizes = sized(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     limits = common.checkpoint(thresholds(sizes.drop("_row"), weights, budget, cap))
     taken = _taken(sizes, limits).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
@@ -131,13 +166,23 @@ rates as (
   select p.source, source_size, least(most, case when l.w > 0 then l.room / l.w * weight else most end)::double as target from per1 p, last_ l),
 rates2 as (select *, floor(case when source_size > 0 then target / source_size else 0 end)::bigint as whole_ from rates),
 rates3 as (select *, target - whole_ * source_size as extra from rates2),
-steps as (select source, draw // 1048576 as step, sum(size) as words from rows_ group by 1, 2),
-upto as (select source, step, sum(words) over (partition by source order by step) as upto from steps),
-near as (
-  select u.source as s, arg_min(step, {'a': abs(upto - extra), 'b': step}) as step, min(abs(upto - extra)) as off
-  from upto u join rates3 r on u.source is not distinct from r.source group by 1),
+steps as (
+  select r.source, pow(2, length(bin(size)) - 1) * 32 >= source_size as large, draw // 1048576 as step, sum(size) as words
+  from rows_ r join rates3 t on r.source is not distinct from t.source group by all),
+upto as (select source, large, step, sum(words) over (partition by source, large order by step) as upto, sum(words) over (partition by source, large) as words from steps),
+big as (
+  select u.source as s, extra * any_value(words) / source_size as goal, arg_min(step, {'a': abs(upto - extra * words / source_size), 'b': step}) as step,
+         arg_min(upto, {'a': abs(upto - extra * words / source_size), 'b': step}) as upto, min(abs(upto - extra * words / source_size)) as off
+  from upto u join rates3 r on u.source is not distinct from r.source where large and source_size > 0 group by u.source, extra, source_size),
+big2 as (
+  select r.*, case when off < goal then (step + 1) * 1048576 else 0 end as below_large, extra - case when off < goal then upto else 0 end as rest
+  from rates3 r left join big on s is not distinct from r.source),
+small as (
+  select u.source as s, arg_min(step, {'a': abs(upto - rest), 'b': step}) as step, min(abs(upto - rest)) as off
+  from upto u join big2 b on u.source is not distinct from b.source where not large group by 1),
 lim as (
-  select r.*, case when off < extra then (step + 1) * 1048576 else 0 end as below from rates3 r left join near n on n.s is not distinct from r.source)
-select doc_id, size, source_size, target, (size * (whole_ + case when draw < below then 1 else 0 end))::bigint as taken
+  select b.*, case when off < rest then (step + 1) * 1048576 else 0 end as below from big2 b left join small on s is not distinct from b.source)
+select doc_id, size, source_size, target,
+       (size * (whole_ + case when draw < case when pow(2, length(bin(size)) - 1) * 32 >= source_size then below_large else below end then 1 else 0 end))::bigint as taken
 from rows_ join lim on rows_.source is not distinct from lim.source
 """
