@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) ->
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     common.prepare(docs.sparkSession)
-    return common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(common.per_chunk(cut, common.CHUNK_BYTES // 2), PIECE)
+    return common.with_text(docs, common.doc_id()).mapInArrow(common.per_chunk(cut, common.CHUNK_BYTES // 2), PIECE)
 
 
 class Tournament:

@@ -5,14 +5,14 @@ toxic than in clean training documents marks the tokens that carry it. The field
 clean, toxic) is trained on sentences with these labels, by gradient ascent on the exact
 likelihood. Forward-backward marginals of every token of a whole text give the offending
 offsets (code points) and, summed up, the document score, which is calibrated on
-training documents that the field has not seen.
+training documents that the field has not seen, and shifted to the classes' shares among all rows that may train, which are counted.
 
 Bounds: training takes at most TRAIN_DOCS labelled documents of each class, in the order
-of a hash of their ids, TRAIN_BYTES of text, and TRAIN_SENTENCES sentences with and
+of a hash of their ids, TRAIN_BYTES of text, no text of more than a 64th of that, and TRAIN_SENTENCES sentences with and
 without signs, of at most LONGEST words; scoring has no bound.
 
-Defined results: a null or empty text has no tokens and the score that follows from that; a
-null doc_id is scored, is not held out and never trains; repeated rows score alike;
+Defined results: a null or empty text has no tokens and the score that follows from that; a very long text is scored whole, some 100 bytes of memory a word; a
+null doc_id, or one that is no number, is scored, is not held out and never trains; where labels of one id differ it counts as toxic; repeated rows score alike;
 without toxic (or without clean) training rows every score is the smoothed share of toxic
 ones, a quarter if there are no rows; an empty table gives no rows; other columns are ignored.
 """
@@ -171,90 +171,91 @@ def tag(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
 # --- training ---------------------------------------------------------------
 
 
-def evident(texts: list[str], toxic: list[int], least: int = 4, odds: float = 2.5) -> set[str]:
-    """Features whose share among toxic documents is far above that among clean ones."""
-    n = [max(1, toxic.count(k)) for k in (0, 1)]
-
-    def of(text: str) -> set[str]:
-        return {f for w in {bare(x) for x in text.lower().split()} if w for f in features(w)}
-
-    # Most features are rare: counts by slot first, so that only those that may reach `least` are kept by name.
-    rough = np.zeros(1 << 22, np.uint16)
-    for text, label in zip(texts, toxic):
-        if label:
-            own = np.unique(np.fromiter((zlib.crc32(f.encode()) for f in of(text)), np.uint32) & (len(rough) - 1))
-            rough[own] += rough[own] < 1000
-    hits: Counter = Counter()
-    for text, label in zip(texts, toxic):
-        if label:
-            hits.update(f for f in of(text) if rough[zlib.crc32(f.encode()) & (len(rough) - 1)] >= least)
-    hits = Counter({f: k for f, k in hits.items() if k >= least})
-    clean: Counter = Counter()
-    for text, label in zip(texts, toxic):
-        if not label:
-            clean.update(f for f in of(text) if f in hits)
-
-    def far_above(f: str) -> bool:
-        ratio = np.log((hits[f] + 0.5) / (n[1] + 1)) - np.log((clean[f] + 0.5) / (n[0] + 1))
-        return ratio >= odds and hits[f] / n[1] > 4 * np.sqrt((clean[f] + 1) / n[0] / n[1])
-
-    return set(filter(far_above, hits))
-
-
-def sentences(text: str):
-    words = text.lower().split()
-    start = 0
-    for k, w in enumerate(words, 1):
-        if w.endswith(ENDS) or k == len(words):
-            if k - start <= LONGEST:
-                yield words[start:k]
-            start = k
-
-
-def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.4, decay: float = 1e-5) -> Field:
+@dataclass
+class Vocabulary:
+    """Distinct words of the training texts by code: the numbers of their features, one list behind the other, and whether they end a sentence.
+
+    Features are kept by their 32-bit hash, so that a word's are worked out once and take four bytes each.
+    """
+
+    codes: list[np.ndarray]
+    slots: np.ndarray
+    sizes: np.ndarray
+    feature: np.ndarray
+    n_features: int
+    ends: np.ndarray
+
+    @staticmethod
+    def of(texts: list[str]) -> Vocabulary:
+        known: dict[str, int] = {}
+        number = lambda w: known.setdefault(w, len(known))
+        codes = [np.fromiter(map(number, t.lower().split()), np.int32) for t in texts]
+        hashes = [[zlib.crc32(f.encode()) for f in features(b)] if (b := bare(w)) else [] for w in known]
+        sizes = np.array([len(h) for h in hashes], np.int64)
+        flat = np.fromiter((x for h in hashes for x in h), np.uint32, int(sizes.sum()))
+        distinct, feature = np.unique(flat, return_inverse=True)
+        return Vocabulary(codes, (flat % SLOTS).astype(np.int64), sizes, feature, len(distinct), np.array([w.endswith(ENDS) for w in known], bool))
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def first(self) -> np.ndarray:
+        """The slot of each word itself."""
+        return np.where(self.sizes > 0, np.append(self.slots, 0)[np.minimum(self.starts, len(self.slots))], slot("="))
+
+    def features_of(self, codes: np.ndarray) -> np.ndarray:
+        """The distinct features of a text."""
+        words = np.unique(codes)
+        n = self.sizes[words]
+        return np.unique(self.feature[np.repeat(self.starts[words] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+
+    def signs(self, which: list[int], toxic: list[int], least: int = 4, odds: float = 2.5) -> np.ndarray:
+        """Whether each word has a feature whose share among toxic documents is far above that among clean ones."""
+        seen, n = np.zeros((2, self.n_features), np.int64), np.zeros(2, np.int64)
+        for i in which:
+            seen[toxic[i], self.features_of(self.codes[i])] += 1
+            n[toxic[i]] += 1
+        n = np.maximum(n, 1)
+        clean, hits = seen
+        ratio = np.log((hits + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
+        far_above = (hits >= least) & (ratio >= odds) & (hits / n[1] > 4 * np.sqrt((clean + 1) / n[0] / n[1]))
+        has = np.zeros(len(self.sizes), np.int64)
+        np.add.at(has, np.repeat(np.arange(len(self.sizes)), self.sizes), far_above[self.feature])
+        return has > 0
+
+    def sentences(self, codes: np.ndarray) -> list[np.ndarray]:
+        stops = np.flatnonzero(self.ends[codes]) + 1
+        return [s for s in np.split(codes, stops) if 0 < len(s) <= LONGEST]
+
+
+def learn(texts: list[str], toxic: list[int], shift: float = 0.0, rounds: int = 40, rate: float = 0.4, decay: float = 1e-5) -> Field:
+    """shift: what the log odds of toxic among all rows are above those among these."""
     n = len(toxic)
     zero = np.zeros(SLOTS)
     field = Field(zero, zero.copy(), zero.copy(), np.zeros((2, 2)), 0.0, np.zeros(4), (sum(toxic) + 0.5) / (n + 2))
     if len(set(toxic)) < 2:
         return field
     fit = [i for i in range(n) if i % 10 < 6]  # the others calibrate
-    signs = evident([texts[i] for i in fit], [toxic[i] for i in fit])
-    is_sign: dict[str, bool] = {}
-
-    def sign(word: str) -> bool:
-        if word not in is_sign:
-            if len(is_sign) > CACHE_WORDS:
-                is_sign.clear()
-            b = bare(word)
-            is_sign[word] = bool(b) and not signs.isdisjoint(features(b))
-        return is_sign[word]
-
-    def kinds():
-        for i in fit:
-            for s in sentences(texts[i]):
-                yield toxic[i] and any(map(sign, s)), s, toxic[i]
-
+    known = Vocabulary.of(texts)
+    sign = known.signs(fit, toxic)
     # Sentences with a sign and others: of each kind every k-th, so that at most TRAIN_SENTENCES train.
-    many = Counter(bool(hot) for hot, _, _ in kinds())
-    step = {k: -(-m // TRAIN_SENTENCES) for k, m in many.items()}
-    seen: Counter = Counter()
-    train = []
-    for hot, s, label in kinds():
-        if seen[bool(hot)] % step[bool(hot)] == 0:
-            train.append((s, label))
-        seen[bool(hot)] += 1
+    kinds: dict[bool, list[tuple[np.ndarray, int]]] = {True: [], False: []}
+    for i in fit:
+        for s in known.sentences(known.codes[i]):
+            kinds[bool(toxic[i] and sign[s].any())].append((s, toxic[i]))
+    train = [x for own in kinds.values() for x in own[:: -(-len(own) // TRAIN_SENTENCES) or 1]]
     if not train:
         return field
-    words = common.flat(s for s, _ in train)
-    label = np.array([bool(t) and sign(w) for s, t in train for w in s], float)
+    label = np.concatenate([sign[s] & bool(t) for s, t in train]).astype(float)
     sizes = np.array([len(s) for s, _ in train], np.int64)
     start = np.cumsum(sizes) - sizes
-    code = {w: k for k, w in enumerate(dict.fromkeys(words))}
-    codes = np.array([code[w] for w in words], np.int64)
-    slots = [[slot(f) for f in features(bare(w))] if bare(w) else [] for w in code]
-    counts = np.array([len(s) for s in slots])
-    row, col = np.repeat(np.arange(len(code)), counts), np.array(common.flat(slots), np.int64)
-    first = np.array([s[0] if s else slot("=") for s in slots])
+    # From here on the words of these sentences only.
+    words, codes = np.unique(np.concatenate([s for s, _ in train]), return_inverse=True)
+    counts = known.sizes[words]
+    row = np.repeat(np.arange(len(words)), counts)
+    col = known.slots[np.repeat(known.starts[words] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+    first = known.first()[words]
     inner = np.ones(len(codes), bool)
     inner[start] = False
     here, there = np.flatnonzero(inner), np.flatnonzero(inner) - 1
@@ -263,14 +264,14 @@ def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.
     weights = [field.own, field.before, field.after]
     # Expected less observed counts are the gradient of the negative log likelihood.
     for _ in range(rounds):
-        own = np.bincount(row, field.own[col], len(code))
+        own = np.bincount(row, field.own[col], len(words))
         emit = own[codes]
         emit[here] += field.before[first][codes[there]]
         emit[there] += field.after[first][codes[here]]
         odds, ahead = marginals(emit, start, sizes, field.moves, field.start)
         p = expit(odds)
         off = p - label
-        by_word = np.bincount(codes, off, len(code))
+        by_word = np.bincount(codes, off, len(words))
         grads = [np.bincount(col, by_word[row], SLOTS), np.bincount(first[codes[there]], off[here], SLOTS), np.bincount(first[codes[here]], off[there], SLOTS)]
         for w, g, h in zip(weights, grads, gathered):
             g = g + decay * len(codes) * w
@@ -293,8 +294,11 @@ def learn(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.
     held = [i for i in range(n) if i % 10 >= 6]
     if len({toxic[i] for i in held}) < 2:
         held = list(range(n))
-    p, doc_sizes = tag([texts[i] for i in held], Words(field))
+    words = Words(field)
+    parts = [tag([texts[i] for i in held[k : k + 64]], words) for k in range(0, len(held), 64)]
+    p, doc_sizes = map(np.concatenate, zip(*parts))
     field.scale, field.constant = calibrate(summed(p, doc_sizes), np.array([toxic[i] for i in held], float)), None
+    field.scale[0] += shift
     return field
 
 
@@ -312,30 +316,35 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 
 def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col("doc_id").try_cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
     """A field from the labelled rows that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    known = labels.select(common.doc_id(), F.col("toxic").try_cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
     # Ids and labels of at most twice TRAIN_DOCS rows, then their sizes, then as many texts as the bound holds.
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = [r for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy(*order).limit(TRAIN_DOCS).collect()]
     toxic = {r.doc_id: r.toxic for r in sample}
     if not toxic:
         return learn([], [])
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([(i,) for i in toxic], "id long"))
-    found = common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).join(ids, F.col("doc_id") == F.col("id"), "left_semi").where("text is not null")
+    found = common.with_text(docs, common.doc_id()).join(ids, F.col("doc_id") == F.col("id"), "left_semi").where("text is not null")
     # One row an id, and a text that is longer than a part of the bound is left to scoring.
-    found = found.where(F.octet_length("text") <= TRAIN_BYTES // 64).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
-    room, rows, seen = TRAIN_BYTES, [], set()
-    for r in sorted(found.collect(), key=lambda r: (r.h, r.doc_id)):
-        if r.n <= room and r.text not in seen:
-            seen.add(r.text)
-            rows.append(r)
-            room -= r.n
-    return learn([r.text for r in rows], [toxic[r.doc_id] for r in rows])
+    found = found.where(F.octet_length("text") <= TRAIN_BYTES // 64).groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).toArrow()
+    room, texts, own = TRAIN_BYTES, {}, found["doc_id"].to_pylist()
+    for k in sorted(range(len(own)), key=found["h"].to_pylist().__getitem__):
+        text = found["text"][k].as_py()
+        if len(text.encode()) <= room and text not in texts:
+            texts[text] = toxic[own[k]]
+            room -= len(text.encode())
+    del found
+    all_of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    seen = Counter(texts.values())
+    shift = 0.0 if len(seen) < 2 else float(np.log(all_of[1] / all_of[0]) - np.log(seen[1] / seen[0]))
+    return learn(list(texts), list(texts.values()), shift)
 
 
 SCORED = "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
@@ -369,7 +378,7 @@ def score(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))], ["doc_id", "score", "spans"])
 
     common.prepare(spark)
-    return common.with_text(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(common.per_chunk(run), SCORED)
+    return common.with_text(docs, common.doc_id()).mapInArrow(common.per_chunk(run), SCORED)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
