@@ -36,12 +36,25 @@ OPS = {
     "keep_one": lambda d, l: simhash.keep_one(d),
     "op10": lambda d, l: mixing.mix(d),
     "emit": lambda d, l: mixing.emit(d),
+    "containers": lambda d, l: media.media_columns(media.containers(d).withColumn("found", F.lit(1))),
+    "format_turns": lambda d, l: chat.format_turns(d.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", "score")).withColumnRenamed("conv_id", "doc_id"),
 }
 
 
+def test_ids_that_are_no_numbers_are_null(spark):
+    d = docs(spark).where("doc_id < 4").withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    for name in ("op1", "op2", "op4", "op5", "op6", "op7", "op10"):
+        rows = OPS[name](d, labels(spark)).collect()
+        assert rows and all(r.doc_id is None for r in rows), name
+
+
 @pytest.mark.parametrize("name", OPS)
 def test_odd_rows(spark, name):
     rows = OPS[name](docs(spark), labels(spark)).collect()
+    if name == "containers":
+        assert all(r.tracks[0].codec == "raw " for r in rows)
+    if name == "format_turns":
+        assert len(rows) == 9 and {r.text for r in rows if r.doc_id == 2} == {""}
     if name in ("op1", "op2", "op3", "op6", "op7", "op10", "removed"):
         assert len(rows) == 9 and sorted(r.doc_id or 0 for r in rows) == [0, 0, 1, 1, 2, 3, 4, 5, 6]
     by = {r.doc_id: r for r in rows}
@@ -90,7 +103,8 @@ def test_search_edges(spark):
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.top_k(df, F.col("vec_id") % 100 == 0, k=4).orderBy("query_id", "rank").collect()]
     u = 1024 * 1024
     assert got[:4] == [(0, 1, 7, 5 * u), (0, 2, 7, 5 * u), (0, 3, None, 3 * u // 2), (0, 4, 1, u)]
-    assert [g[2] for g in got[4:]] == [None, 0, 1, 7]
+    # an empty vector scores 0 and takes part
+    assert [g[2:] for g in got[4:]] == [(3, 0), (None, -u // 2), (0, -u), (1, -u)]
     assert maxscore.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
     assert maxscore.top_k(df.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
 
@@ -139,12 +153,31 @@ def test_many_sources_and_copies(spark, monkeypatch):
     assert len(rows) == 51 and len({(r.sequence_id, r.offset) for r in rows}) == 51 and len({r.sequence_id >> 32 for r in rows}) > 1
 
 
+def test_empty_vectors_take_part(spark):
+    df = spark.createDataFrame([(0, [-1.0]), (1, []), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r["rank"], r.vec_id, r.score) for r in maxscore.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1, 0), (2, 2, -1024 * 1024)]
+    assert [r.score for r in maxscore.top_k(df.withColumn("embedding", F.array().cast("array<double>")), F.col("vec_id") == 0).collect()] == [0, 0]
+
+
 def test_search_grid(spark, monkeypatch):
+    """Many shards, tasks and rounds of queries; thresholds from a small sample."""
     monkeypatch.setattr(maxscore, "SHARD", 40)
-    monkeypatch.setattr(maxscore, "BLOCK", 2)
+    monkeypatch.setattr(maxscore, "SAMPLE", 12)
+    monkeypatch.setattr(maxscore, "ROUND_BYTES", 8 * 6 * 3)
     rows = [(i, [((i * 7 + k * 13) % 19 - 9) / 8 for k in range(6)]) for i in range(300)]
-    got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0, k=5).collect()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = maxscore.top_k(df, F.col("vec_id") % 30 == 0, k=5).collect()
     v = {i: [int(1024 * x // 1) for x in e] for i, e in rows}
     for q in range(0, 300, 30):
         want = sorted(((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q))[:5]
         assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    w = maxscore.work(df, F.col("vec_id") % 30 == 0, k=5).first()
+    assert w.terms == 10 * 300 * 6 and w.scored <= w.terms and 0 <= w.skipped < w.cells
+
+
+def test_shards_out_of_reach_are_skipped(spark):
+    rows = [(i, [1.0 if i < 6 else 0.001, 0.5]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    w = maxscore.work(df, F.col("vec_id") == 0, k=5).first()
+    assert w.skipped >= 2 and w.scored < 0.6 * w.terms
+    assert [r.vec_id for r in maxscore.top_k(df, F.col("vec_id") == 0, k=5).orderBy("rank").collect()] == [1, 2, 3, 4, 5]

@@ -149,7 +149,8 @@ def test_license_rules(spark):
 
 
 def test_every_sentence_has_a_keyword_and_is_found_by_itself(spark):
-    rows = [(i, s.replace("#", "2020 holder").replace("*", "some words")) for i, s in licenses.SENTENCES.items()]
+    first = lambda s: " ".join(w.split("|")[0] for w in s.split())
+    rows = [(i, first(s).replace("#", "2020 holder").replace("*", "some words")) for i, s in licenses.SENTENCES.items()]
     for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect():
         assert r.sentence_ids == r.doc_id
     assert {i for _, ids in licenses.RULES for i in ids} <= set(licenses.SENTENCES)
@@ -164,22 +165,23 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "v long")
     order = sorted(values, reverse=True)
     for k in (1, 2, 25, 30, len(values)):
-        value, left = resample.kth_largest(df, "v", k)
-        assert value == order[k - 1] and left == k - sum(v > value for v in values)
+        assert resample.kth_largest(df, "v", k) == order[k - 1]
 
 
-def test_gumbel_top_k_by_brute_force(spark):
-    rows = [(i, " ".join(random.Random(i).choices(["good", "fine", "text"] if i % 2 else ["junk", "spam", "text"], k=30))) for i in range(200)]
+@pytest.mark.parametrize("words,most", [(30, None), (400, None), (400, 200)])
+def test_gumbel_top_k_by_brute_force(spark, words, most):
+    rows = [(i, " ".join(random.Random(i).choices(["good", "fine", "text"] if i % 2 else ["junk", "spam", "text"], k=words))) for i in range(200)] + [(None, "text"), (None, "good text")]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
-    bags = {i: Counter(resample.grams([t.encode()], resample.BUCKETS)[0].tolist()) for i, t in rows}
-    raw, target = sum(bags.values(), Counter()), sum((bags[i] for i in range(1, 100, 2)), Counter())
-    ratio = lambda b: np.log((target[b] + 1) / (target.total() + resample.BUCKETS)) - np.log((raw[b] + 1) / (raw.total() + resample.BUCKETS))
-    noise = lambda i: -np.log(-np.log(((xxhash.xxh64_intdigest(str(i).encode(), 11) >> 11) + 0.5) / (1 << 53)))
-    want = {i: sum(n * ratio(b) for b, n in bag.items()) + noise(i) for i, bag in bags.items()}
-    best = sorted(want, key=want.get, reverse=True)[:100]
-    got = {r.doc_id: r.noisy for r in resample.sample(docs, labels).collect()}
-    assert set(got) == set(best) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
-    assert sum(i % 2 for i in got) > 90
+    word = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) // 2
+    bag = lambda t: Counter([word(w) % 10_000 for w in t] + [(word(a) * 40_503 + word(b)) % (2**31 - 1) % 10_000 for a, b in itertools.pairwise(t)])
+    bags = [bag(t.split()) for _, t in rows]
+    raw, target = sum(bags, Counter()), sum((bags[i] for i in range(1, 100, 2)), Counter())
+    ratio = lambda b: np.log((target[b] + 1) / (target.total() + 10_000)) - np.log((raw[b] + 1) / (raw.total() + 10_000))
+    noise = lambda i, t: -np.log(-np.log((int(hashlib.md5(f"{'null' if i is None else i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52))
+    scale = lambda b: 1 if most is None else most / max(most, b.total())
+    want = sorted((sum(n * ratio(k) for k, n in b.items()) * scale(b) + noise(*row) for b, row in zip(bags, rows)), reverse=True)[:101]
+    got = sorted((r.noisy for r in resample.sample(docs, labels, most=most).collect()), reverse=True)
+    assert got == pytest.approx(want, abs=1e-9)
 
 
 # --- packing
@@ -238,29 +240,133 @@ def test_word_ids_are_the_tokenizers(texts):
 # --- media
 
 
+def parsed(data):
+    """An own reader of one-track files of this writer: tables by name, wherever they stand."""
+    table = lambda name, n, at=0: struct.unpack_from(f">{n}I", data, data.index(name) + 8 + at)
+    size, n = table(b"stsz", 2)
+    (chunks,) = table(b"stco", 1)
+    offsets = table(b"stco", chunks, 4)
+    (runs,) = table(b"stsc", 1)
+    runs = [table(b"stsc", 3, 4 + 12 * k)[:2] for k in range(runs)] + [(chunks + 1, 0)]
+    per = [p for (a, p), (b, _) in itertools.pairwise(runs) for _ in range(a, b)]
+    places = [(offset + k * size, size) for offset, m in zip(offsets, per) for k in range(m)]
+    (syncs,) = table(b"stss", 1)
+    return n, places, [places[k - 1] for k in table(b"stss", syncs, 4)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=20_000))
 def test_media_round_trip(data):
     payload = media.padded(data)
     stored = media.store(payload)
     (track,) = media.index(stored)
-    assert b"".join(stored[a : a + n] for a, n in track.ranges()) == payload
-    assert track.duration == len(payload) and track.codec == "raw " and len(track.keyframes()) == -(-len(payload) // (64 * 16))
-    assert media.digest(stored)[:3] == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    n, places, keys = parsed(stored)
+    assert b"".join(stored[a : a + n] for a, n in track.chunk_ranges()) == b"".join(stored[a : a + n] for a, n in places) == payload
+    assert track.duration == track.ticks == len(payload) and track.codec == "raw " and track.samples == n and track.keyframes() == keys
+
+
+@TABLES
+def test_media_query_by_an_own_reader(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in common.read(spark, SF, "documents").collect()}
+    rows = queries.QUERIES["op6_media_columns"](spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r.doc_id]
+        payload = text + bytes(-len(text) % 64 if text else 64)
+        stored = media.store(payload)
+        _, places, keys = parsed(stored)
+        assert b"".join(stored[a : a + n] for a, n in places) == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.codec, r.seconds, [tuple(k) for k in r.keyframes]) == ("raw", len(payload) / 8000, keys)
+        assert f"samples={len(places)};keyframes={len(keys)};first={keys[0][0]}+64" in r.feature
+
+
+def container(*tables, extra=b"", end=b""):
+    box, full = media.box, media.full
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(70))), *tables)
+    trak = box(b"trak", full(b"tkhd", bytes(8), struct.pack(">I", 7), bytes(68)), box(b"mdia", full(b"mdhd", bytes(8), struct.pack(">2I", 1000, 40), bytes(4)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", stbl)))
+    return box(b"ftyp", b"isom") + box(b"moov", trak, extra) + end
+
+
+def times(*pairs):
+    return media.full(b"stts", struct.pack(f">{1 + 2 * len(pairs)}I", len(pairs), *common.flat(pairs)))
+
+
+def ints(name, *values, kind="I"):
+    return media.full(name, struct.pack(f">I{len(values)}{kind}", len(values), *values))
 
 
 def test_foreign_containers(spark):
-    sizes = [5, 7, 3]
+    places = (media.full(b"stsc", struct.pack(">7I", 2, 1, 2, 1, 2, 1, 1)), ints(b"co64", 100, 500, kind="Q"))
+    good = container(times((2, 10), (1, 20)), media.full(b"stsz", struct.pack(">5I", 0, 3, 5, 7, 3)), *places, ints(b"stss", 1, 3), end=media.box(b"mdat", bytes(400)))
+    small = container(times((3, 10)), media.full(b"stz2", struct.pack(">2I2B", 4, 3, 0x57, 0x30)), *places, end=media.box(b"mdat", bytes(400)))
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-3])), (3, None), (4, bytearray(small)), (5, bytearray(b""))], "tracks int, media binary").withColumn("row", F.lit("x"))
+    got = {r.row_id: r for r in media.media_columns(df.withColumn("row_id", F.col("tracks"))).collect()}
+    (t,) = got[1].tracks
+    assert (t.codec, t.kind, t.duration_ticks, t.timescale, t.samples, t.seconds) == ("avc1", "vide", 40, 1000, 3, 0.04) and got[1].row == "x"
+    assert [tuple(k) for k in t.keyframes] == [(100, 5), (500, 3)]
+    assert got[2].tracks is None and got[2].media_error and got[3].tracks is None and got[3].media_error is None
+    # without a table of sync samples all are: whole chunks
+    assert [tuple(k) for k in got[4].tracks[0].keyframes] == [(100, 12), (500, 3)] and got[5].tracks == []
+
+
+def test_fragments():
     box, full = media.box, media.full
-    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(70))), full(b"stts", struct.pack(">5I", 2, 2, 10, 1, 20)), full(b"stsz", struct.pack(">5I", 0, 3, *sizes)), full(b"stsc", struct.pack(">7I", 2, 1, 2, 1, 2, 1, 1)), full(b"co64", struct.pack(">I2Q", 2, 100, 500)), full(b"stss", struct.pack(">3I", 2, 1, 3)))
-    trak = box(b"trak", box(b"mdia", full(b"mdhd", bytes(8), struct.pack(">2I", 1000, 40), bytes(4)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", stbl)))
-    good = box(b"ftyp", b"isom") + box(b"moov", trak)
-    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(good[:-3])), (3, None)], "id int, media binary")
-    got = {r.id: r for r in media.media_columns(df).collect()}
-    assert (got[1].codec, got[1].duration_ticks, got[1].timescale, got[1].samples) == ("avc1", 40, 1000, 3)
-    assert [tuple(k) for k in got[1].keyframes] == [(100, 5), (500, 3)] and got[2].codec is None and got[3].codec is None
+    empty = (times(), full(b"stsz", bytes(8)), ints(b"stsc"), ints(b"stco"))
+    trex = box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 10, 4, 0x10000)))
+
+    def moof(*runs, base=b"", flags=media.TF_MOOF):
+        return box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), base, flags=flags), *runs))
+
+    head = container(*empty, extra=trex)
+    sized = full(b"trun", struct.pack(">IiI4I", 2, 0, 0, 5, 20, 6, 30), flags=media.TR_OFFSET | media.TR_FIRST | media.TR_DURATION | media.TR_SIZE)
+    plain = full(b"trun", struct.pack(">I", 3), flags=0)
+    data = head + moof(sized, plain) + box(b"mdat", bytes(100))
+    (t,) = media.index(data)
+    # times of the runs: given ones (5 and 6 ticks), then the default of the track
+    assert t.samples == 5 and t.ticks == 5 + 6 + 30 and t.chunk_ranges() == [(len(head), 50), (len(head) + 50, 12)]
+    assert t.keyframes() == [(len(head), 20)]
     with pytest.raises(media.BadContainer):
-        list(media.walk(memoryview(struct.pack(">I4s", 4, b"free"))))
+        media.index(head + moof(full(b"trun", struct.pack(">I", 4_000_000_000))))
+    with pytest.raises(media.BadContainer):
+        media.index(head + moof(plain, base=struct.pack(">Q", 1 << 60), flags=media.TF_BASE))
+
+
+def test_hostile_containers_raise_and_take_no_memory():
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    fine = (times((1, 1)), ints(b"stco", 40), media.full(b"stsc", struct.pack(">4I", 1, 1, 1, 1)))
+    bad = [
+        nested, struct.pack(">I4s", 4, b"free"), struct.pack(">I4sI", 1, b"free", 9), media.box(b"moov", b"123"),
+        container(*fine, media.full(b"stsz", struct.pack(">2I", 1, (1 << 32) - 1))), container(*fine, media.full(b"stsz", struct.pack(">2I", 0, 20_000_000))),
+        container(*fine, media.full(b"stsz", struct.pack(">2I", 4, 1)), ints(b"stss", 0)), container(*fine, media.full(b"stsz", struct.pack(">2I", 4, 1)), ints(b"stss", 2)),
+        container(times((1, 1)), ints(b"stco", 4), media.full(b"stsc", struct.pack(">4I", 1, 1, (1 << 32) - 1, 1)), media.full(b"stsz", struct.pack(">2I", 4, 1))),
+        container(times((1, 1)), ints(b"stco", 1 << 31), media.full(b"stsc", struct.pack(">4I", 1, 1, 1, 1)), media.full(b"stsz", struct.pack(">2I", 4, 1))), container(media.full(b"stsd")[:10]),
+    ]
+    import tracemalloc
+
+    tracemalloc.start()
+    for data in bad:
+        with pytest.raises(media.BadContainer):
+            media.index(data)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_damaged_containers_raise_or_fit(data):
+    stored = bytearray(media.store(media.padded(bytes(range(256)) * 40)))
+    for _ in range(data.draw(st.integers(0, 4))):
+        stored[data.draw(st.integers(0, 700))] = data.draw(st.integers(0, 255))
+    cut = data.draw(st.integers(0, len(stored)) | st.just(len(stored)))
+    try:
+        for t in media.index(bytes(stored[:cut])):
+            assert all(0 <= a and a + n <= cut for a, n in t.keyframes())
+    except media.BadContainer:
+        pass
 
 
 # --- SimHash
@@ -309,7 +415,7 @@ def test_forest_joins_what_hangs_together(n):
         if (a ^ b).bit_count() <= 2:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {int(x): int(x) for x in fps} | {v: u for u, v in simhash.forest(fps, 2)}
+    got = {int(x): int(x) for x in fps} | {int(v): int(u) for u, v in zip(*simhash.forest(fps, 2))}
     assert {x: find(x) for x in root} == got
 
 
@@ -330,7 +436,7 @@ def test_maxscore_by_sorting(seed, n, d, k):
     q = rng.integers(-3, 4, d).astype(float)
     maxscore.STEP, step = 64, maxscore.STEP
     try:
-        ids, scores = maxscore.search(q, c, np.arange(n), (c.max(1), c.min(1)), k)
+        ids, scores, _ = maxscore.search(q, c, np.arange(n), (c.max(1), c.min(1)), k)
     finally:
         maxscore.STEP = step
     want = sorted(zip((-(q @ c)).tolist(), range(n)))[:k]
@@ -382,7 +488,7 @@ def test_targets_stop_at_caps(spark):
 @TABLES
 def test_mixture_is_near_its_targets(spark):
     rows = queries.QUERIES["op10_mixing"](spark, "/root/testdata/sf0.01").withColumn("k", F.col("source_size")).groupBy("target", "k").agg(F.sum("taken").alias("taken"), F.max("size").alias("largest"), F.max(F.col("taken") / F.greatest("size", F.lit(1))).alias("most")).collect()
-    assert all(abs(r.taken - r.target) <= r.largest and r.most <= 2 for r in rows)
+    assert all(abs(r.taken - r.target) <= 0.03 * r.target and r.most <= 2 for r in rows)
     again = [queries.QUERIES["op10_mixing"](spark, SF).orderBy("doc_id").collect() for _ in range(2)]
     assert again[0] == again[1]
 
