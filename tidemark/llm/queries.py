@@ -27,7 +27,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.sample(common.read_spread(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    found = resample.sample(common.read_spread(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("log_weight", "noisy")))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_substring_dedup": substring.ORACLE,
     "op3_license_scan": licenses.oracle(),
+    "op4_quality_resample": resample.ORACLE,
     "op8_maxscore": maxscore.ORACLE,
     "op9_chat_format": chat.ORACLE,
     "op10_mixing": mixing.ORACLE,
