@@ -31,11 +31,11 @@ def test_append_and_read(spark, store):
     assert [(r.sequence_number, r.event_type, r.commit_group) for r in done.collect()] == [(1, "A", 1), (2, "B", 1)]
     store.append(pending(spark, {"type": "A", "tags": ["y:2"]}))
     log = store.snapshot().log
-    assert [r.sequence_number for r in log.read_from(1).collect()] == [2, 3]
+    assert [r.sequence_number for r in log.read_from(1, ordered=True).collect()] == [2, 3]
     assert [r.sequence_number for r in log.read_from(0, EventFilter.of(["A"], ["y:2", "x:9"])).collect()] == [3]
     assert log.revision(EventFilter.of(tags=["x:1"])).first().revision == 2 and log.revision(EventFilter.of(["Z"])).first().revision == 0
     assert log.cursor_at(2) == ReadCursor(1, 2) and log.cursor_at(0) == START
-    assert [r.sequence_number for r in store.snapshot().outbox().collect()] == [1, 3]
+    assert [r.sequence_number for r in store.snapshot().outbox(99).collect()] == [1, 3]
     assert not log.held_back()
 
 
@@ -55,7 +55,7 @@ def test_ids_are_stored_once(spark, store):
     done = store.append(pending(spark, {"id": "e2", "type": "B", "payload": "2"}, {"id": "e1", "type": "A", "tags": ["x:2"], "payload": "9"}, {"id": "e2", "type": "C"}))
     assert [(r.event_id, r.sequence_number, r.payload) for r in done.collect()] == [("e2", 2, "2"), ("e1", 1, "9"), ("e2", 2, "{}")]
     log = store.snapshot().log
-    assert [(r.event_id, r.payload) for r in log.read_from().collect()] == [("e1", "1"), ("e2", "2")]
+    assert [(r.event_id, r.payload) for r in log.read_from(ordered=True).collect()] == [("e1", "1"), ("e2", "2")]
     assert [r.event_id for r in log.read_from(0, EventFilter.of(tags=["x:2"])).collect()] == ["e1"]
     assert store.snapshot().outbox().count() == 2
 
@@ -74,7 +74,7 @@ def test_messages_in_the_same_commit(spark, store):
     m = spark.createDataFrame([("t", None, "p1", {"a": "b"}), ("t", "k", "p2", {})], "topic string, key string, payload string, headers map<string,string>")
     store.append(pending(spark, {"type": "A"}), messages=m)
     store.append(pending(spark), EventFilter.of(["A"]), 77, m)
-    assert [(r.id, r.payload) for r in store.snapshot().messages().collect()] == [(1, "p1"), (2, "p2"), (3, "p1"), (4, "p2")]
+    assert [(r.id, r.payload) for r in store.snapshot().messages(99).collect()] == [(1, "p1"), (2, "p2"), (3, "p1"), (4, "p2")]
     with pytest.raises(Conflict):
         store.append(pending(spark, {"type": "A"}), EventFilter.of(["A"]), 77, m)
     assert store.snapshot().messages().count() == 4
@@ -92,7 +92,7 @@ def test_racing_writers(spark, store):
         t.start()
     for t in ts:
         t.join()
-    assert [r.sequence_number for r in store.snapshot().log.read_from().collect()] == [1, 2, 3]
+    assert [r.sequence_number for r in store.snapshot().log.read_from(ordered=True).collect()] == [1, 2, 3]
 
 
 def test_persist_with_checkpoint(spark, store):

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import json
+import time
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQueryListener
 
-from tidemark.sources.store import Store
+from tidemark.sources.store import Conflict, Store
 from tidemark.streaming.projector import Projector
 
 
@@ -52,6 +54,32 @@ def control(projector: Projector, action: str, position: int | None = None) -> N
         raise ValueError(f"unknown action {action!r}")
 
 
+@dataclass
+class Measured:
+    """A store's appends: how many, with how many events, how many conflicts and failures, and the seconds of each kind of end."""
+
+    store: Store
+    counts: dict[str, int] = field(default_factory=lambda: {"appends": 0, "events": 0, "conflicts": 0, "failures": 0})
+    seconds: dict[str, float] = field(default_factory=lambda: {"appends": 0.0, "conflicts": 0.0, "failures": 0.0})
+
+    def append(self, pending: DataFrame, *args, **kwargs) -> DataFrame:
+        began, end = time.monotonic(), "failures"
+        try:
+            done = self.store.append(pending, *args, **kwargs)
+            end = "appends"
+            self.counts["events"] += done.count()
+            return done
+        except Conflict:
+            end = "conflicts"
+            raise
+        finally:
+            self.counts[end] += 1
+            self.seconds[end] += time.monotonic() - began
+
+    def __getattr__(self, name: str):
+        return getattr(self.store, name)
+
+
 class Progress(StreamingQueryListener):
     """Rows and milliseconds of each batch of each query."""
 

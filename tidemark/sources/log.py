@@ -43,10 +43,10 @@ class EventLog:
             out = out.join(hits, "sequence_number", "left_semi")
         return out
 
-    def read_from(self, position: int = 0, f: EventFilter = EventFilter(), most: int | None = None) -> DataFrame:
-        """Events after a position, by position; nothing is withheld."""
-        out = self.matching(f).where(F.col("sequence_number") > position).orderBy("sequence_number")
-        return out if most is None else out.limit(most)
+    def read_from(self, position: int = 0, f: EventFilter = EventFilter(), most: int | None = None, ordered: bool = False) -> DataFrame:
+        """Events after a position, nothing is withheld; by position if ordered, and with `most` the first of them."""
+        out = self.matching(f).where(F.col("sequence_number") > position)
+        return _page(out, ["sequence_number"], most, ordered)
 
     def read_by_position(self, after: int, f: EventFilter, most: int | None = None) -> ProjectionRead:
         """For logs whose events become visible in order of position: read_from(), never held back."""
@@ -65,9 +65,10 @@ class EventLog:
         group = F.col("commit_group")
         return (group > cursor.commit_group) | ((group == cursor.commit_group) & (F.col("sequence_number") > cursor.position))
 
-    def delivery(self, cursor: ReadCursor = START, f: EventFilter = EventFilter(), most: int | None = None) -> DataFrame:
-        out = self.matching(f).where(self.after(cursor) & (F.col("commit_group") < self.visible_below)).orderBy("commit_group", "sequence_number")
-        return out if most is None else out.limit(most)
+    def delivery(self, cursor: ReadCursor = START, f: EventFilter = EventFilter(), most: int | None = None, ordered: bool = False) -> DataFrame:
+        """Events behind a cursor that are not withheld; in delivery order if ordered, and with `most` the first of them."""
+        out = self.matching(f).where(self.after(cursor) & (F.col("commit_group") < self.visible_below))
+        return _page(out, ["commit_group", "sequence_number"], most, ordered)
 
     def held_back(self, f: EventFilter = EventFilter()) -> bool:
         """Whether matching rows wait at or behind the horizon."""
@@ -95,6 +96,13 @@ class EventLog:
         return self.index.where(F.col("tag").isin(*tags)).groupBy("tag").agg(F.max("sequence_number").alias("revision"))
 
 
+def _page(rows: DataFrame, order: list[str], most: int | None, ordered: bool) -> DataFrame:
+    """A whole read is sorted only if asked to: sorting it is a shuffle of everything."""
+    if most is not None:
+        return rows.orderBy(*order).limit(most)
+    return rows.orderBy(*order) if ordered else rows
+
+
 def tag_index(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("tags").alias("tag"), "sequence_number").distinct()
 

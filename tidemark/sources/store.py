@@ -7,6 +7,9 @@ picks one manifest and has a snapshot. The number of the manifest that brought a
 its commit group, so groups become visible in order and nothing is ever held back.
 
 State tables are kept in buckets of their key; a commit rewrites only the buckets it touches.
+
+Appends and marks add folders; compact() makes one of many and drops from the outboxes what has been delivered, and vacuum()
+deletes old manifests with the folders that no other one names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,14 @@ from tidemark.sources.log import EventLog
 LOG_TABLES = {"log": LOG, "tags": TAG_INDEX, "event_outbox": "global_position long", "published": "global_position long", "message_outbox": f"id long, {MESSAGE}", "message_done": "id long"}
 SNAPSHOT_KEY = ("snapshot_id", "snapshot_key", "snapshot_version")
 BUCKETS = 64
+#: File systems whose rename fails if the target is there, so that it is a create that one writer wins.
+EXCLUSIVE_RENAME = ("hdfs", "abfs", "abfss", "ofs")
+#: Asks a file system to create a file only if there is none; one that can't refuses to.
+CONDITIONAL = "fs.option.create.conditional.overwrite"
 #: So many event ids at most are pushed to a scan as values, which is Spark's own limit.
 FEW_IDS = 10
+#: So many event types of a commit are named in its manifest.
+FEW_TYPES = 1000
 
 
 class Conflict(Exception):
@@ -50,10 +59,14 @@ class Manifest:
     states: dict[str, dict] = field(default_factory=dict)
     checkpoints: dict[str, dict] = field(default_factory=dict)
     leases: dict[str, dict] = field(default_factory=dict)
+    #: Of this commit alone: types of the events it brought (null: too many to name), and checkpoints that were moved by hand.
+    brought: list[str] | None = field(default_factory=list)
+    moved: list[str] = field(default_factory=list)
 
     def next(self) -> Manifest:
         m = Manifest(**json.loads(json.dumps(self.__dict__)))
         m.version += 1
+        m.brought, m.moved = [], []
         return m
 
 
@@ -63,7 +76,8 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         url = urlparse(root)
-        self.local = url.path.rstrip("/") if url.scheme in ("", "file") else None
+        self.scheme = url.scheme or "file"
+        self.local = url.path.rstrip("/") if self.scheme == "file" else None
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -106,8 +120,11 @@ class Files:
             finally:
                 os.unlink(f"{folder}/{temp}")
             return
-        fs, p = self._fs(f"{self.root}/manifests/{temp}")
         _, to = self._fs(f"{self.root}/manifests/{name}")
+        if self.scheme not in EXCLUSIVE_RENAME:
+            self._create_if_none(to, text)
+            return
+        fs, p = self._fs(f"{self.root}/manifests/{temp}")
         out = fs.create(p, False)
         out.write(bytearray(text.encode()))
         out.close()
@@ -115,6 +132,30 @@ class Files:
             fs.delete(p, False)
             raise Lost(name)
 
+    def _create_if_none(self, to, text: str) -> None:
+        """On object stores, where rename is a copy: by a conditional create, or not at all."""
+        fs, _ = self._fs(str(to))
+        try:
+            out = fs.createFile(to).recursive().overwrite(False).must(CONDITIONAL, True).build()
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                raise Lost(str(to)) from None
+            raise NotImplementedError(f"{self.scheme} has no create that one of several writers wins: {e}") from e
+        try:
+            out.write(bytearray(text.encode()))
+            out.close()
+        except Exception as e:
+            raise Lost(str(to)) from e
+
+    def children(self, path: str) -> list[tuple[str, float]]:
+        """Name and time of change (seconds) of what a folder under the root holds."""
+        fs, p = self._fs(f"{self.root}/{path}")
+        return [(x.getPath().getName(), x.getModificationTime() / 1000) for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def delete(self, path: str) -> None:
+        fs, p = self._fs(f"{self.root}/{path}")
+        fs.delete(p, True)
+
 
 def _cursor(c: dict) -> ReadCursor:
     return ReadCursor(c["group"], c["position"])
@@ -150,15 +191,27 @@ class Snapshot:
         return self.store.spark.createDataFrame(rows, "projection_name string, commit_group long, global_position long, running boolean, error string")
 
     def outbox(self, most: int | None = None) -> DataFrame:
-        """Unpublished events, by position."""
-        waiting = self.table("event_outbox").join(self.table("published"), "global_position", "left_anti")
-        rows = self.table("log").join(waiting, F.col("sequence_number") == F.col("global_position"), "left_semi").orderBy("sequence_number")
-        return rows if most is None else rows.limit(most)
+        """Unpublished events; with `most` the first of them, by position.
+
+        A page looks for its positions in the outbox, and in the log only behind the first of them.
+        """
+        waiting = self.waiting("event_outbox", "published", "global_position")
+        rows = self.table("log")
+        if most is not None:
+            waiting = waiting.orderBy("global_position").limit(most)
+            first = waiting.agg(F.min("global_position")).first()[0]
+            rows = rows.where(F.col("sequence_number") >= F.lit(0 if first is None else first))
+        rows = rows.join(waiting, F.col("sequence_number") == F.col("global_position"), "left_semi")
+        return rows if most is None else rows.orderBy("sequence_number")
 
     def messages(self, most: int | None = None) -> DataFrame:
-        """Waiting messages, by id."""
-        rows = self.table("message_outbox").join(self.table("message_done"), "id", "left_anti").orderBy("id")
-        return rows if most is None else rows.limit(most)
+        """Waiting messages; with `most` the first of them, by id."""
+        rows = self.waiting("message_outbox", "message_done", "id")
+        return rows if most is None else rows.orderBy("id").limit(most)
+
+    def waiting(self, outbox: str, done: str, by: str) -> DataFrame:
+        """Rows of an outbox that are not done."""
+        return self.table(outbox).join(self.table(done), by, "left_anti")
 
 
 class Store:
@@ -171,11 +224,13 @@ class Store:
         return Snapshot(self, Manifest(**self.files.load(version)) if version else Manifest())
 
     def commit(self, change: Callable[[Snapshot, Manifest], object], retries: int = 10):
-        """Applies change(snapshot, next manifest) and creates that manifest; begins anew if another writer was first."""
+        """Applies change(snapshot, next manifest) and creates that manifest, unless it changes nothing; begins anew if another writer was first."""
         for left in range(retries, -1, -1):
             now = self.snapshot()
             new = now.manifest.next()
             result = change(now, new)
+            if new == now.manifest.next():
+                return result
             try:
                 self.files.create(new.version, new.__dict__)
                 return result
@@ -192,7 +247,7 @@ class Store:
     def _add(self, m: Manifest, name: str, df: DataFrame) -> None:
         m.tables.setdefault(name, []).append(self._write(df, name))
 
-    def _staged(self, df: DataFrame) -> DataFrame:
+    def staged(self, df: DataFrame) -> DataFrame:
         """df as written: whatever in it was chosen at run time is fixed."""
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self._write(df, 'staged')}")
 
@@ -221,33 +276,36 @@ class Store:
         in the log already keeps its row; of the same id in one batch the first counts.
         Tags are indexed for such an event, too.
         """
-        if "ordinal" not in pending.columns:
-            pending = pending.withColumn("ordinal", F.monotonically_increasing_id())
-        named = pending.withColumn("given", F.col("event_id").isNotNull()).withColumn("event_id", F.coalesce("event_id", F.expr("uuid()")))
-        # Ids and order are fixed by writing them; whatever is retried reads the same.
-        staged = self._staged(named)
+        staged = self.named(pending)
         empty, no_messages = staged.isEmpty(), messages is None or messages.isEmpty()
         if empty and no_messages:
             return self.spark.createDataFrame([], LOG)
 
         def change(now: Snapshot, m: Manifest) -> DataFrame | None:
             if not no_messages:
-                self._add_messages(m, messages)
+                self.add_messages(m, messages)
             if empty:
                 return None
             if expected is not None:
                 revision = now.log.revision(f or EventFilter()).first().revision
                 if revision != expected:
                     raise Conflict(f"revision {revision}, expected {expected}")
-            return self._add_events(now, m, staged)
+            return self.add_events(now, m, staged)
 
         done = self.commit(change)
         return done if done is not None else self.spark.createDataFrame([], LOG)
 
-    def _add_events(self, now: Snapshot, m: Manifest, staged: DataFrame) -> DataFrame:
+    def named(self, pending: DataFrame) -> DataFrame:
+        """Pending events with ids and order, fixed by writing them: whatever is retried reads the same."""
+        if "ordinal" not in pending.columns:
+            pending = pending.withColumn("ordinal", F.monotonically_increasing_id())
+        return self.staged(pending.withColumn("given", F.col("event_id").isNotNull()).withColumn("event_id", F.coalesce("event_id", F.expr("uuid()"))))
+
+    def add_events(self, now: Snapshot, m: Manifest, staged: DataFrame) -> DataFrame:
+        """Within a commit: staged events (see named()) behind those that are there."""
         firsts = staged.groupBy("event_id").agg(F.min("ordinal").alias("ordinal"))
         known, repeated = self._known(now, staged)
-        placed = self._staged(self._marked(firsts.join(known, "event_id", "left_anti").repartitionByRange("ordinal").sortWithinPartitions("ordinal")))
+        placed = self.staged(self._marked(firsts.join(known, "event_id", "left_anti").repartitionByRange("ordinal").sortWithinPartitions("ordinal")))
         number, total = self._dense(placed, m.next_position)
         placed = placed.select("event_id", number.alias("new_position"))
         m.next_position += total
@@ -267,10 +325,12 @@ class Store:
             "ordinal",
             F.col("old_position").isNull().alias("inserted"),
         )
-        out = self._staged(log)
+        out = self.staged(log)
         new = out.where("inserted").join(first.select("event_id", "ordinal"), ["event_id", "ordinal"], "left_semi")
         names = [f.name for f in LOG.fields]
         self._add(m, "log", new.select(*names))
+        types = [r[0] for r in new.select("event_type").distinct().limit(FEW_TYPES + 1).collect()]
+        m.brought = None if len(types) > FEW_TYPES or m.brought is None else sorted({*m.brought, *types})
         # The index of new positions is new; only events that were there before may have tags in it already.
         tags = out.select(F.explode("tags").alias("tag"), "sequence_number", "inserted").distinct()
         fresh = tags.where("inserted").select("tag", "sequence_number")
@@ -294,28 +354,75 @@ class Store:
             log = log.where(F.col("event_id").isin(*few) if few else F.lit(False))
         else:
             log = log.join(given, "event_id", "left_semi")
-        known = self._staged(log.select("event_id", F.col("sequence_number").alias("old_position"), F.col("recorded_at").alias("old_time")))
+        known = self.staged(log.select("event_id", F.col("sequence_number").alias("old_position"), F.col("recorded_at").alias("old_time")))
         return known, bool(few) and not known.isEmpty()
 
+    # -- upkeep
+
+    def compact(self, folders: int = 32) -> list[str]:
+        """Rewrites log tables of more than so many folders as one folder each, in one commit; gives their names.
+
+        Log and index are sorted, by position and by tag. Of outboxes only what waits is kept, and nothing
+        of what was delivered, so that later pages don't look through it. Older manifests keep their folders until vacuum().
+        """
+        order = {"log": ("sequence_number",), "tags": ("tag", "sequence_number")}
+        pairs = {"event_outbox": ("published", "global_position"), "message_outbox": ("message_done", "id")}
+
+        def change(now: Snapshot, m: Manifest) -> list[str]:
+            many = [n for n, dirs in m.tables.items() if len(dirs) > folders]
+            done = []
+            for name in many:
+                if name in order:
+                    rows = now.table(name)
+                    m.tables[name] = [self._write(rows.repartitionByRange(*order[name]).sortWithinPartitions(*order[name]), name)]
+                    done.append(name)
+            for name, (marks, by) in pairs.items():
+                if name in many or marks in many:
+                    m.tables[name], m.tables[marks] = [self._write(now.waiting(name, marks, by), name)], []
+                    done += [name, marks]
+            return done
+
+        if not any(len(dirs) > folders for dirs in self.snapshot().manifest.tables.values()):
+            return []
+        return self.commit(change)
+
     def vacuum(self, seconds: float = 86_400.0) -> int:
-        """Deletes what appends had written to fix their input, once it is older than that; returns how many folders."""
-        fs, path = self.files._fs(f"{self.root}/data/staged")
-        if not fs.exists(path):
-            return 0
-        old = [s.getPath() for s in fs.listStatus(path) if s.getModificationTime() <= (time.time() - seconds) * 1000]
-        for p in old:
-            fs.delete(p, True)
-        return len(old)
-
-    def _add_messages(self, m: Manifest, messages: DataFrame) -> None:
-        staged = self._staged(self._marked(messages.select(*(x.split()[0] for x in MESSAGE.split(", ")))))
+        """Deletes manifests but the last, and folders of data that no manifest left names, once they are older than that; gives how many of both.
+
+        A reader that holds a snapshot longer than `seconds` loses it, and so does a writer that takes longer to commit.
+        """
+        before = time.time() - seconds
+        versions = self.files.versions()
+        aged = dict(self.files.children("manifests"))
+        old = [v for v in versions[:-1] if aged.get(f"{v:012d}.json", before + 1) <= before]
+        named: set[str] = set()
+        for v in versions:
+            if v not in old:
+                m = self.files.load(v)
+                folders = [d for dirs in m["tables"].values() for d in dirs] + [d for x in m["states"].values() for d in x["buckets"].values()]
+                named |= {"/".join(d.split("/")[:3]) for d in folders}
+        for v in old:
+            self.files.delete(f"manifests/{v:012d}.json")
+        gone = len(old)
+        for name, _ in self.files.children("data"):
+            for folder, changed in self.files.children(f"data/{name}"):
+                if changed <= before and f"data/{name}/{folder}" not in named:
+                    self.files.delete(f"data/{name}/{folder}")
+                    gone += 1
+        return gone
+
+    # -- messages
+
+    def add_messages(self, m: Manifest, messages: DataFrame) -> None:
+        """Within a commit: messages behind those that are there."""
+        staged = self.staged(self._marked(messages.select(*(x.split()[0] for x in MESSAGE.split(", ")))))
         number, total = self._dense(staged, m.next_message)
         self._add(m, "message_outbox", staged.select(number.alias("id"), "topic", "key", "payload", "headers"))
         m.next_message += total
 
     def enqueue(self, messages: DataFrame) -> None:
         if not messages.isEmpty():
-            self.commit(lambda _, m: self._add_messages(m, messages))
+            self.commit(lambda _, m: self.add_messages(m, messages))
 
     def mark_published(self, positions: DataFrame) -> None:
         self.commit(lambda _, m: self._add(m, "published", positions.select(F.col(positions.columns[0]).cast("long").alias("global_position"))))
@@ -331,41 +438,71 @@ class Store:
         If the checkpoint stands elsewhere than expected, Conflict. Among rows with one
         key any may win.
         """
+        def change(now: Snapshot, m: Manifest) -> None:
+            if checkpoint is not None:
+                self.move(now, m, checkpoint, expected)
+            self.put(now, m, name, schema, keys, upserts, deletes)
+
+        self.commit(change)
+
+    @staticmethod
+    def move(now: Snapshot, m: Manifest, checkpoint: Checkpoint, expected: ReadCursor | None = None) -> None:
+        """Within a commit: moves a checkpoint; Conflict if it stands elsewhere than expected."""
+        at = now.checkpoint(checkpoint.name).cursor
+        if expected is not None and at != expected:
+            raise Conflict(f"{checkpoint.name} is at {at}, expected {expected}")
+        c = checkpoint.cursor
+        m.checkpoints[checkpoint.name] = {"group": c.commit_group, "position": c.position, "running": checkpoint.running, "error": checkpoint.error}
+
+    def put(self, now: Snapshot, m: Manifest, name: str, schema: str, keys: tuple[str, ...], upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
+        """Within a commit: deletes and then upserts rows of a state table."""
         columns = [f.name for f in T._parse_datatype_string(schema).fields]
         bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+        touched = [d.select(*keys) for d in (upserts, deletes) if d is not None]
+        if not touched:
+            return
+        keyed = touched[0] if len(touched) == 1 else touched[0].unionByName(touched[1])
+        hit = [r[0] for r in keyed.select(bucket).distinct().collect()]  # at most BUCKETS
+        if not hit:
+            return
+        state = m.states.setdefault(name, {"buckets": {}})["buckets"]
+        dirs = [state[str(b)] for b in hit if str(b) in state]
+        old = self.spark.read.schema(schema).parquet(*(f"{self.root}/{d}" for d in dirs)) if dirs else self.spark.createDataFrame([], schema)
+        rows = old.join(keyed.distinct(), list(keys), "left_anti").select(*columns)
+        if upserts is not None:
+            rows = rows.unionByName(upserts.select(*columns).dropDuplicates(list(keys)))
+        path = self._write(rows.withColumn("_bucket", bucket).repartition("_bucket"), f"state_{name}", "_bucket")
+        there = {r[0] for r in self.spark.read.schema("_bucket int").parquet(f"{self.root}/{path}").select("_bucket").distinct().collect()}
+        for b in hit:
+            state.pop(str(b), None)
+            if b in there:
+                state[str(b)] = f"{path}/_bucket={b}"
+
+    def save_checkpoint(self, c: Checkpoint) -> None:
+        """Whatever stood there. Live projections of that name wake."""
 
         def change(now: Snapshot, m: Manifest) -> None:
-            if checkpoint is not None:
-                at = now.checkpoint(checkpoint.name).cursor
-                if expected is not None and at != expected:
-                    raise Conflict(f"{checkpoint.name} is at {at}, expected {expected}")
-                c = checkpoint.cursor
-                m.checkpoints[checkpoint.name] = {"group": c.commit_group, "position": c.position, "running": checkpoint.running, "error": checkpoint.error}
-            touched = [d.select(*keys) for d in (upserts, deletes) if d is not None]
-            if not touched:
-                return
-            keyed = touched[0] if len(touched) == 1 else touched[0].unionByName(touched[1])
-            hit = [r[0] for r in keyed.select(bucket).distinct().collect()]  # at most BUCKETS
-            if not hit:
-                return
-            state = m.states.setdefault(name, {"buckets": {}})["buckets"]
-            dirs = [state[str(b)] for b in hit if str(b) in state]
-            old = self.spark.read.schema(schema).parquet(*(f"{self.root}/{d}" for d in dirs)) if dirs else self.spark.createDataFrame([], schema)
-            rows = old.join(keyed.distinct(), list(keys), "left_anti").select(*columns)
-            if upserts is not None:
-                rows = rows.unionByName(upserts.select(*columns).dropDuplicates(list(keys)))
-            path = self._write(rows.withColumn("_bucket", bucket).repartition("_bucket"), f"state_{name}", "_bucket")
-            there = {r[0] for r in rows.select(bucket).distinct().collect()}
-            for b in hit:
-                state.pop(str(b), None)
-                if b in there:
-                    state[str(b)] = f"{path}/_bucket={b}"
+            self.move(now, m, c)
+            m.moved.append(c.name)
 
         self.commit(change)
 
-    def save_checkpoint(self, c: Checkpoint) -> None:
-        """Whatever stood there."""
-        self.persist("", "x int", (), checkpoint=c)
+    # -- start-up
+
+    def check(self) -> DataFrame:
+        """table and whether the files of the last manifest have all columns that are expected, for each table that has files."""
+        now = self.snapshot()
+        there, wanted = [], []
+        for name, dirs in sorted(now.manifest.tables.items()):
+            schema = LOG_TABLES[name] if isinstance(LOG_TABLES[name], T.StructType) else T._parse_datatype_string(LOG_TABLES[name])
+            wanted += [(name, f.name, f.dataType.simpleString()) for f in schema.fields] if dirs else []
+            for d in dirs:
+                there += [(name, d, f.name, f.dataType.simpleString()) for f in self.spark.read.parquet(f"{self.root}/{d}").schema.fields]
+        found = self.spark.createDataFrame(there, "name string, folder string, column string, kind string")
+        want = self.spark.createDataFrame(wanted, "name string, column string, kind string")
+        n = want.groupBy("name").agg(F.count("*").alias("columns"))
+        per = found.join(want, ["name", "column", "kind"], "left_semi").groupBy("name", "folder").agg(F.count("*").alias("has")).join(n, "name")
+        return n.join(per.groupBy("name").agg(F.min(F.col("has") == F.col("columns")).alias("whole")), "name", "left").select(F.col("name").alias("table"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
     # -- leases
 

@@ -93,11 +93,22 @@ class KafkaTopics:
     def __init__(self, spark: SparkSession, servers: str):
         self.spark, self.servers = spark, servers
 
+    @property
+    def write_options(self) -> dict[str, str]:
+        return {"kafka.bootstrap.servers": self.servers, "kafka.enable.idempotence": "true", "kafka.acks": "all", "includeHeaders": "true"}
+
+    def read_options(self, topic: str) -> dict[str, str]:
+        return {"kafka.bootstrap.servers": self.servers, "subscribe": topic, "includeHeaders": "true", "startingOffsets": "earliest"}
+
     def publish(self, rows: DataFrame) -> None:
-        rows.select("topic", "key", "value", "headers").write.format("kafka").option("kafka.bootstrap.servers", self.servers).option("kafka.enable.idempotence", "true").option("includeHeaders", "true").save()
+        rows.select("topic", "key", "value", "headers").write.format("kafka").options(**self.write_options).save()
+
+    def read(self, topic: str) -> DataFrame:
+        """All that the topic holds now."""
+        return self.spark.read.format("kafka").options(**self.read_options(topic)).load()
 
     def stream(self, topic: str) -> DataFrame:
-        return self.spark.readStream.format("kafka").option("kafka.bootstrap.servers", self.servers).option("subscribe", topic).option("includeHeaders", "true").load()
+        return self.spark.readStream.format("kafka").options(**self.read_options(topic)).load()
 
 
 def relay_events(store: Store, publish: Callable[[DataFrame], None], topic: str, most: int = 10_000) -> int:
@@ -106,7 +117,7 @@ def relay_events(store: Store, publish: Callable[[DataFrame], None], topic: str,
     try:
         n = page.count()
         if n:
-            publish(event_messages(page, topic))
+            publish(event_messages(page, topic))  # in the page's order
             store.mark_published(page.select("sequence_number"))
         return n
     finally:

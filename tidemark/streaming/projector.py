@@ -11,7 +11,7 @@ import os
 import time
 import traceback
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.model import START, Checkpoint, EventFilter, ReadCursor
 from tidemark.operators.commands import CommandHandler
-from tidemark.operators.fold import Projection, project
+from tidemark.operators.fold import Projection, fold_steps, project
 from tidemark.sources.store import Conflict, Store
 
 PAGE, PAGES, ERROR_CHARS = 100_000, 10, 32_000
@@ -27,13 +27,19 @@ PAGE, PAGES, ERROR_CHARS = 100_000, 10, 32_000
 
 @dataclass
 class Projector:
-    """Folds a store's log into one of its state tables (columns: key, state)."""
+    """Folds a store's log into one of its state tables (columns: key, state).
+
+    Once a page is committed, on_page gets the states of the keys it touched, and on_event the state of
+    each key after each of its events (fold_steps). measured counts pages, events and seconds.
+    """
 
     store: Store
     projection: Projection
     page: int = PAGE
     pages: int = PAGES
     on_page: Callable[[DataFrame], None] | None = None
+    on_event: Callable[[DataFrame], None] | None = None
+    measured: dict[str, float] = field(default_factory=lambda: {"pages": 0, "events": 0, "seconds": 0.0, "conflicts": 0, "failures": 0})
 
     @property
     def name(self) -> str:
@@ -60,7 +66,7 @@ class Projector:
         if not c.running:
             return False
         read = now.log.read_for_projection(c.cursor, EventFilter.of(self.projection.seen), self.page)
-        events = read.events.cache()
+        events, began = read.events.cache(), time.monotonic()
         try:
             n = events.count()
             if not n:
@@ -72,15 +78,24 @@ class Projector:
                 self.store.persist(self.name, self.schema, ("key",), states.where("state is not null"), states.where("state is null").select("key"), nxt, c.cursor)
                 if self.on_page:
                     self.on_page(states)
+                if self.on_event:
+                    up_to = F.struct("commit_group", "sequence_number") <= F.struct(F.lit(nxt.cursor.commit_group).alias("commit_group"), F.lit(nxt.cursor.position).alias("sequence_number"))
+                    self.on_event(fold_steps(self.projection, events.where(up_to), now.state(self.name, self.schema)))
                 states.unpersist()
+                self.measured["pages"] += 1
+                self.measured["events"] += n
+                self.measured["failures"] += out.error is not None
                 return n == self.page and out.error is None
             except Conflict:
+                self.measured["conflicts"] += 1
                 return True
             except Exception:
+                self.measured["failures"] += 1
                 self.store.save_checkpoint(replace(c, running=False, error=traceback.format_exc()[-ERROR_CHARS:]))
                 return False
         finally:
             events.unpersist()
+            self.measured["seconds"] += time.monotonic() - began
 
     def run_pass(self) -> bool:
         """Up to `pages` pages; whether there may be more."""
@@ -118,7 +133,8 @@ class Projector:
         """From the start, without the states so far."""
         now = self.store.snapshot()
         c = replace(now.checkpoint(self.name), cursor=START, error=None)
-        self.store.persist(self.name, self.schema, ("key",), deletes=now.state(self.name, self.schema).select("key"), checkpoint=c)
+        self.store.persist(self.name, self.schema, ("key",), deletes=now.state(self.name, self.schema).select("key"))
+        self.store.save_checkpoint(c)
 
 
 def run_sync(handler: CommandHandler, command: dict, projector: Projector, seconds: float = 30.0) -> tuple[str | None, DataFrame | None]:
@@ -139,7 +155,7 @@ def leased(projector: Projector, holder: str, seconds: float = 30.0) -> bool:
 
 
 def run_live(projectors: list[Projector], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """One streaming query that wakes the projectors whenever a manifest appears.
+    """One streaming query that wakes projectors when manifests appear: all at first, then those that handle a type of event that was brought, or whose checkpoint was moved by hand.
 
     The stream only wakes: what is folded follows from manifests and checkpoints, so a
     repeated batch changes nothing.
@@ -151,9 +167,18 @@ def run_live(projectors: list[Projector], checkpoint: str, once: bool = False) -
     if store.files.local is not None:
         os.makedirs(f"{store.files.local}/manifests", exist_ok=True)
 
-    def wake(_: DataFrame, __: int) -> None:
+    begun: set[str] = set()
+
+    def wake(manifests: DataFrame, _: int) -> None:
+        news = manifests.select(F.from_json("value", "brought array<string>, moved array<string>").alias("m"))
+        known = news.where("m is not null and m.brought is not null")
+        types = {r[0] for r in known.select(F.explode("m.brought")).distinct().collect()}
+        moved = {r[0] for r in known.select(F.explode("m.moved")).distinct().collect()}
+        unknown = not news.where("m is null or m.brought is null").isEmpty()
         for p in projectors:
-            p.catch_up()
+            if unknown or p.name not in begun or p.name in moved or not types.isdisjoint(p.projection.seen):
+                p.catch_up()
+            begun.add(p.name)
 
     manifests = store.spark.readStream.option("wholetext", "true").text(f"{store.root}/manifests")
     writer = manifests.writeStream.foreachBatch(wake).option("checkpointLocation", checkpoint)
@@ -168,14 +193,18 @@ def stream_fold(keyed: DataFrame, state: str, step: Callable[[tuple | None, dict
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    order = ["commit_group", "sequence_number"]
+
     key_type = keyed.schema["key"].dataType.simpleString()
     names = [f.split()[0] for f in state.split(", ")]
 
     def fold(key, parts, held):
         now = held.get if held.exists else None
-        rows = pd.concat(list(parts)).sort_values(["commit_group", "sequence_number"])
-        for row in rows.to_dict("records"):
-            now = step(now, row)
+        parts = list(parts)
+        rows = (parts[0] if len(parts) == 1 else pd.concat(parts)).sort_values(order)
+        columns = [rows[c].tolist() for c in rows.columns]
+        for values in zip(*columns):
+            now = step(now, dict(zip(rows.columns, values)))
         if now is None:
             if held.exists:
                 held.remove()
