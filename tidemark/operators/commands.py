@@ -10,13 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.ids import fingerprint
 from tidemark.model import PENDING, EventFilter, EventSchema, Scope
 from tidemark.sources.log import EventLog
+from tidemark.sources.scratch import written
 from tidemark.sources.store import Conflict, Store
 
 EMITTED = "array<struct<event_type:string,payload:string,tags:array<string>>>"
@@ -117,28 +118,71 @@ class CommandHandler:
                 case = case.when(hit, e.f(state, row["event"], command).cast(self.state))
         return case.otherwise(state)
 
-    def evaluate(self, log: EventLog, commands: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    @property
+    def folds_by_command(self) -> bool:
+        """Whether the first state or a step looks at the command itself, not only at its tags."""
+        state, event, command = (F.col(n) for n in ("_state", "_event", "_command_"))
+        seen = [self.initial(command)]
+        for e in self.evolves:
+            seen += [f(*args) for f, args in ((e.f, (state, event, command)), (e.when, (event, command))) if f is not None]
+        return any("_command_" in str(c) for c in seen)
+
+    def _folded(self, units: DataFrame, history: DataFrame, longest: int | None) -> DataFrame:
+        """unit, folded, n, last (position) of units with events; histories longer than `longest` are folded by parts."""
+
+        def fold(rows: DataFrame, state: Column) -> DataFrame:
+            """rows: unit, history; and what state reads."""
+            out = F.aggregate("history", state, lambda acc, r: self._step(acc, r, F.col("command"), F.col("tags")))
+            return rows.select("unit", out.alias("folded"), F.size("history").cast("long").alias("n"), F.element_at("history", -1)["sequence_number"].alias("last"))
+
+        def gathered(rows: DataFrame) -> DataFrame:
+            return rows.groupBy("unit").agg(F.array_sort(F.collect_list("row")).alias("history"))
+
+        first = F.coalesce(F.col("s_state"), self.initial(F.col("command")).cast(self.state))
+        if longest is None:
+            return fold(gathered(history).join(units, "unit"), first)
+        long_units = written(history.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > longest))
+        most = long_units.agg(F.max("n")).first()[0]
+        if most is None:
+            return fold(gathered(history).join(units, "unit"), first)
+        short = fold(gathered(history.join(long_units, "unit", "left_anti")).join(units, "unit"), first)
+        nth = F.row_number().over(Window.partitionBy("unit").orderBy("row.sequence_number"))
+        parts = written(history.join(long_units.select("unit"), "unit", "left_semi").withColumn("part", F.floor((nth - 1) / longest)))
+        units = written(units.join(long_units.select("unit"), "unit", "left_semi"))
+        carried = units.select("unit", first.alias("folded"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last"))
+        for k in range(-(-most // longest)):
+            own = gathered(parts.where(F.col("part") == k)).join(units, "unit").join(carried.select("unit", F.col("folded").alias("_folded"), F.col("n").alias("_n")), "unit")
+            now = fold(own, F.col("_folded")).join(carried.select("unit", F.col("n").alias("_n")), "unit").select("unit", "folded", (F.col("n") + F.col("_n")).alias("n"), "last")
+            carried = written(now.unionByName(carried.join(now.select("unit"), "unit", "left_anti")))
+        return short.unionByName(carried)
+
+    def evaluate(self, log: EventLog, commands: DataFrame, starts: DataFrame | None = None, longest: int | None = None) -> DataFrame:
         """commands (command_id, command struct) → command_id, command, tags, revision, events, state, rejection, emitted.
 
-        starts: command_id, state, position and events folded so far, where a snapshot is known.
+        starts: command_id, state, position and events folded so far, where a snapshot is known. longest: histories of more events are folded
+        so many at a time.
         """
         asked = commands.select("command_id", "command").withColumn("tags", self.tags(F.col("command")))
         if starts is None:
             asked = asked.withColumns({"s_state": F.lit(None).cast(self.state), "s_position": F.lit(0).cast("long"), "s_events": F.lit(0).cast("long")})
         else:
             asked = asked.join(starts.select("command_id", F.col("state").alias("s_state"), F.col("position").alias("s_position"), F.col("events").alias("s_events")), "command_id", "left").fillna(0, ["s_position", "s_events"])
-        hits = asked.select("command_id", "s_position", F.explode("tags").alias("tag")).join(log.index, "tag").where("sequence_number > s_position").select("command_id", "sequence_number").distinct()
+        # Commands that fold the same events the same way share one fold: those of one tag set and start, and if the fold looks at the command, of one content.
+        by = ["tags", "s_state", "s_position"] + (["command"] if self.folds_by_command else [])
+        asked = asked.withColumn("unit", F.sha2(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}), 256))
+        units = asked.groupBy("unit").agg(*(F.first(c).alias(c) for c in ("tags", "s_state", "s_position", "command")))
+        hits = units.select("unit", "s_position", F.explode("tags").alias("tag")).join(log.index, "tag").where("sequence_number > s_position").select("unit", "sequence_number").distinct()
         rows = log.rows.select("sequence_number", "event_type", F.col("tags").alias("event_tags"), F.from_json("payload", self.event).alias("event"))
         if not self.all_event_types:
             rows = rows.where(F.col("event_type").isin(*self.types))
         row = F.struct("sequence_number", "event_type", F.col("event_tags").alias("tags"), "event")
-        history = hits.join(rows, "sequence_number").groupBy("command_id").agg(F.array_sort(F.collect_list(row)).alias("history"))
-        full = asked.join(history, "command_id", "left")
+        history = hits.join(rows, "sequence_number").select("unit", row.alias("row"))
+        folded = self._folded(units, history, longest)
+        full = asked.join(folded, "unit", "left")
         start = F.coalesce(F.col("s_state"), self.initial(F.col("command")).cast(self.state))
-        folded = F.when(F.col("history").isNull(), start).otherwise(F.aggregate("history", start, lambda acc, r: self._step(acc, r, F.col("command"), F.col("tags"))))
-        full = full.withColumn("state", folded)
-        full = full.withColumn("revision", F.greatest(F.col("s_position"), F.coalesce(F.array_max(F.transform("history", lambda r: r["sequence_number"])), F.lit(0))))
-        full = full.withColumn("events", F.col("s_events") + F.coalesce(F.size("history"), F.lit(0)))
+        full = full.withColumn("state", F.when(F.col("n").isNull(), start).otherwise(F.col("folded")))
+        full = full.withColumn("revision", F.greatest(F.col("s_position"), F.coalesce("last", F.lit(0).cast("long"))))
+        full = full.withColumn("events", F.col("s_events") + F.coalesce("n", F.lit(0).cast("long")))
         case = F.when(F.lit(False), F.lit(""))
         for condition, code in self.rejects:
             case = case.when(condition(F.col("state"), F.col("command")), code)

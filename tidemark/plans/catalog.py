@@ -6,8 +6,6 @@ supplier stand for read-model tables.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +19,7 @@ from tidemark.operators.commands import CommandHandler, Evolve
 from tidemark.operators.query import Query, paginated
 from tidemark.operators.table import Table, flattened, nested
 from tidemark.sources.log import log_of_events
+from tidemark.sources.scratch import new_folder
 from tidemark.sources.store import Store
 from tidemark.streaming import delivery, projector, saga
 
@@ -167,24 +166,22 @@ def _(spark, sf_dir):
     return table.all()
 
 
-@register("find_many", "select k.c_custkey, c_name, c_name is not null as found from (select distinct o_custkey + case when o_orderkey % 7 = 0 then 100000000 else 0 end as c_custkey from orders where o_orderkey % 50 = 0 or o_orderkey % 77 = 0) k left join customer c using (c_custkey)")
+@register("find_many", "select k.c_custkey, c_name, c_name is not null as found from (select distinct case when o_orderstatus = 'P' then o_custkey + 100000000 else o_custkey end as c_custkey from orders) k left join customer c using (c_custkey)")
 def _(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0 or o_orderkey % 77 = 0")
-    keys = o.select((F.col("o_custkey") + F.when(F.col("o_orderkey") % 7 == 0, 100_000_000).otherwise(0)).alias("c_custkey"))
+    keys = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 100_000_000).otherwise(F.col("o_custkey")).alias("c_custkey"))
     return customers(spark, sf_dir).find_many(keys).select("c_custkey", "c_name", "found")
 
 
-@register("fetch", f"{CUSTOMERS} select {CUSTOMER} from c where c_custkey in (select o_custkey from orders where o_orderkey % 50 = 0)")
+@register("fetch", f"{CUSTOMERS} select {CUSTOMER} from c where c_custkey in (select o_custkey from orders)")
 def _(spark, sf_dir):
-    keys = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey"))
-    return customers(spark, sf_dir).fetch(keys)
+    return customers(spark, sf_dir).fetch(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")))
 
 
-@register("composite_lookup", "select o_custkey, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where (o_custkey, o_orderstatus) in (select o_custkey, o_orderstatus from orders where o_orderkey % 100 = 1) group by 1, 2")
+@register("composite_lookup", "select o_custkey, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders where (o_custkey, o_orderstatus) in (select o_custkey, o_orderstatus from orders where o_orderpriority = '1-URGENT') group by 1, 2")
 def _(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
     per = o.groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return Table(per, ("o_custkey", "o_orderstatus")).fetch(o.where("o_orderkey % 100 = 1"))
+    return Table(per, ("o_custkey", "o_orderstatus")).fetch(o.where("o_orderpriority = '1-URGENT'"))
 
 
 @register("orders_filtered", f"select {ORDER} from orders where o_orderstatus = 'P' and o_totalprice between 1000 and 200000 and o_orderpriority in ('1-URGENT', '2-HIGH')")
@@ -329,6 +326,8 @@ def _(spark, sf_dir):
 
 # --- folds --------------------------------------------------------------------
 
+#: Events of a key that are folded as one array; longer histories go by parts.
+LONGEST = 100_000
 EVENT = "struct<user_id:bigint,value:double,k:bigint>"
 ACCOUNT = "struct<n:bigint,total:double>"
 USER, DAY = Scope("user"), Scope("day")
@@ -364,7 +363,7 @@ def _(spark, sf_dir):
 
 @register("account_projection_columns", ACCOUNT_SQL.format(place=PLACE))
 def _(spark, sf_dir):
-    states = fold.fold_columns(account(), log_of_events(spark, sf_dir).rows)
+    states = fold.fold_columns(account(), log_of_events(spark, sf_dir).rows, longest=LONGEST)
     return states.where("state is not null").select("key", "state.n", F.round("state.total", 2).alias("total"))
 
 
@@ -391,8 +390,8 @@ def _(spark, sf_dir):
     """In two pages, the second on the states of the first."""
     log = log_of_events(spark, sf_dir)
     p, cut = account(), ReadCursor(100, 0)
-    first = fold.fold_columns(p, log.rows.where(~log.after(cut))).select("key", "state")
-    second = fold.fold_columns(p, log.rows.where(log.after(cut)), first).select("key", "state")
+    first = fold.fold_columns(p, log.rows.where(~log.after(cut)), longest=LONGEST).select("key", "state")
+    second = fold.fold_columns(p, log.rows.where(log.after(cut)), first, longest=LONGEST).select("key", "state")
     states = Table(first, ("key",)).upsert(second).rows.where("state is not null")
     return states.select("key", "state.n", F.round("state.total", 2).alias("total"))
 
@@ -401,18 +400,26 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     scoped = {n: EventSchema(n, "user_id bigint", scopes=((USER, "user_id"), (DAY, "day"))) for n in ("click", "view")}
     keys = "struct<left:string,right:string>"
-    p = fold.Projection("pairs", "bigint", EVENT, [fold.on(*scoped.values()).upsert(lambda s, e: F.coalesce(s, F.lit(0)) + 1)], scopes=(USER, DAY), key_type=keys)
-    keyed = p.keyed(log_of_events(spark, sf_dir).rows)
-    return keyed.groupBy(F.col("key.left").alias("user_id"), F.col("key.right").alias("day")).agg(F.count("*").alias("n"), F.max("sequence_number").alias("last_position"))
+    # Delivery order is not position order here: the largest position so far stays.
+    count = lambda s, e, m: F.struct((F.coalesce(s["n"], F.lit(0)) + 1).alias("n"), F.greatest(s["last_position"], m["sequence_number"]).alias("last_position"))
+    p = fold.Projection("pairs", "struct<n:bigint,last_position:bigint>", EVENT, [fold.on(*scoped.values(), envelope=True).upsert(count)], scopes=(USER, DAY), key_type=keys)
+    states = fold.fold_columns(p, log_of_events(spark, sf_dir).rows, longest=LONGEST)
+    return states.select(F.col("key.left").alias("user_id"), F.col("key.right").alias("day"), "state.n", "state.last_position")
 
 
-@register("last_value_projection", f"select cast(user_id as varchar) as key, arg_max(value, {PLACE}) as value, arg_max(event_id + 1, {PLACE}) as position from events where event_type = 'view' group by 1")
+@register("last_value_projection", f"select cast(user_id as varchar) as key, arg_max(value, {PLACE}) as value, arg_max(k, {PLACE}) as k from (select *, cast(json_extract(props, '$.k') as bigint) as k from events) where event_type = 'view' group by 1")
 def _(spark, sf_dir):
-    view = fold.on(SCHEMAS["view"]).set(lambda e: F.struct(e["value"].alias("value"), (e["k"] * 0).alias("zero")))
-    p = fold.Projection("last", "struct<value:double,zero:bigint>", EVENT, [view], scopes=(USER,))
-    keyed = p.keyed(log_of_events(spark, sf_dir).rows).select("key", "commit_group", "sequence_number", "event_type", "event.value")
-    sums = fold.Sums(("view",), (), (), {}, {"value": F.col("value"), "position": F.col("sequence_number")})
-    return fold.fold_sums(sums, keyed)
+    view = fold.on(SCHEMAS["view"]).set(lambda e: F.struct(e["value"].alias("value"), e["k"].alias("k")))
+    p = fold.Projection("last", "struct<value:double,k:bigint>", EVENT, [view], scopes=(USER,))
+    return fold.fold_columns(p, log_of_events(spark, sf_dir).rows, longest=LONGEST).select("key", "state.value", "state.k")
+
+
+@register("last_value_sums", f"select cast(user_id as varchar) as key, arg_max(value, {PLACE}) as value, arg_max(event_id + 1, {PLACE}) as position from events where event_type = 'view' group by 1")
+def _(spark, sf_dir):
+    """The same by aggregations."""
+    view = fold.on(SCHEMAS["view"]).set(lambda e: e["value"])
+    keyed = fold.Projection("last", "double", EVENT, [view], scopes=(USER,)).keyed(log_of_events(spark, sf_dir).rows).select("key", "commit_group", "sequence_number", "event_type", "event.value")
+    return fold.fold_sums(fold.Sums(("view",), (), (), {}, {"value": F.col("value"), "position": F.col("sequence_number")}), keyed)
 
 
 @register("fanned_out_keys", "select b as key, count(*) as n from (select distinct event_id, unnest([k % 5, k % 7, 9]) as b from (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where event_type = 'click')) group by 1")
@@ -420,7 +427,7 @@ def _(spark, sf_dir):
     k = F.get_json_object("payload", "$.k").cast("long")
     h = fold.on(SCHEMAS["click"], keys=lambda: F.array(k % 5, k % 7, F.lit(9).cast("long"))).upsert(lambda s, e: F.coalesce(s, F.lit(0)) + 1)
     p = fold.Projection("fan", "bigint", EVENT, [h], key_type="bigint")
-    return fold.fold_columns(p, log_of_events(spark, sf_dir).rows).select("key", F.col("state").alias("n"))
+    return fold.fold_columns(p, log_of_events(spark, sf_dir).rows, longest=LONGEST).select("key", F.col("state").alias("n"))
 
 
 @register(
@@ -434,7 +441,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     on, one = fold.on, F.lit(1).cast("long")
     p = fold.Projection("strict", "bigint", EVENT, [on(SCHEMAS["signup"]).create(lambda e: one), on(SCHEMAS["purchase"]).update(lambda s, e: s + 1)], scopes=(USER,))
-    return fold.fold_columns(p, log_of_events(spark, sf_dir).rows).where("error is not null").select("key", "error", "position")
+    return fold.fold_columns(p, log_of_events(spark, sf_dir).rows, longest=LONGEST).where("error is not null").select("key", "error", "position")
 
 
 # --- commands -----------------------------------------------------------------
@@ -460,7 +467,7 @@ def withdrawals() -> CommandHandler:
 
 @register(
     "evaluate_commands",
-    """with c as (select range as user_id, cast((range * 37) % 200 as double) as amount from range(0, 400, 3)),
+    """with c as (select user_id, cast((user_id * 37) % 200 as double) as amount from (select distinct user_id from events union all select max(user_id) + 1 from events)),
     r as (select user_id, max(event_id) filter (event_type = 'signup') as s, max(event_id) + 1 as rev, count(*) as events from events group by 1),
     b as (select c.user_id, amount, r.s is not null as known, coalesce(rev, 0) as revision, coalesce(events, 0) as events,
           coalesce((select sum(value) from events e where e.user_id = c.user_id and event_type = 'purchase' and event_id > coalesce(r.s, -1)), 0.0) as spent from c left join r on c.user_id = r.user_id)
@@ -468,12 +475,18 @@ def withdrawals() -> CommandHandler:
            case when known and spent >= amount then 1 else 0 end as emitted, case when known and spent >= amount then 'user:' || user_id end as emitted_tag from b""",
 )
 def _(spark, sf_dir):
-    commands = spark.range(0, 400, 3).select(F.col("id").alias("command_id"), F.struct(F.col("id").alias("user_id"), ((F.col("id") * 37) % 200).cast("double").alias("amount")).alias("command"))
-    done = withdrawals().evaluate(log_of_events(spark, sf_dir), commands)
+    """A command of every user, and one of a user that no event names."""
+    done = withdrawals().evaluate(log_of_events(spark, sf_dir), all_commands(spark, sf_dir), longest=LONGEST)
     tag = F.when(F.size("emitted") > 0, F.get(F.get("emitted", F.lit(0))["tags"], F.lit(0)))
     return done.select("command.user_id", "revision", "events", F.round("state.spent", 2).alias("spent"), "rejection", F.size("emitted").alias("emitted"), tag.alias("emitted_tag"))
 
 
+def all_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    users = e.select("user_id").distinct().unionByName(e.agg((F.max("user_id") + 1).alias("user_id")))
+    return users.select(F.col("user_id").alias("command_id"), F.struct("user_id", ((F.col("user_id") * 37) % 200).cast("double").alias("amount")).alias("command"))
+
+
 # --- codecs and values ---------------------------------------------------------
 
 
@@ -493,9 +506,9 @@ def _(spark, sf_dir):
 ORACLE_SQL["upcast_decode"] = "select event_id, round(case when event_id % 3 = 0 then value else value * 100 end, 2) as cents, cast(1 + event_id % 3 as integer) as version from events where event_type = 'view'"
 
 
-@register("patches", "select event_id, case event_id % 3 when 0 then 'keep' when 1 then 'clear' else 'set' end as state, case event_id % 3 when 0 then 'old' when 1 then null else event_type end as name from events where event_id < 300")
+@register("patches", "select event_id, case event_id % 3 when 0 then 'keep' when 1 then 'clear' else 'set' end as state, case event_id % 3 when 0 then 'old' when 1 then null else event_type end as name from events")
 def _(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("event_id < 300")
+    e = read(spark, sf_dir, "events")
     payload = F.when(F.col("event_id") % 3 == 0, "{}").when(F.col("event_id") % 3 == 1, '{"name":null}').otherwise(F.to_json(F.struct(F.col("event_type").alias("name"))))
     e = e.withColumn("payload", payload)
     return e.select("event_id", codec.patch_state(F.col("payload"), "name").alias("state"), codec.patched(F.lit("old"), F.col("payload"), "name", "string").alias("name"))
@@ -515,9 +528,9 @@ def _(spark, sf_dir):
     return log_of_events(spark, sf_dir).rows.select("sequence_number", "event_id")
 
 
-@register("saga_instance_ids", f"select o_orderkey, {UUID3} as saga_id, {UUID3.replace('h,', 'g,')} as event_id, {UUID3} || ':2:0:reserve' as idempotency_key, 'reserve' as label from (select *, md5({UUID3} || ':2:0') as g from (select o_orderkey, md5('order:' || o_orderkey) as h from orders where o_orderkey % 11 = 0))")
+@register("saga_instance_ids", f"select o_orderkey, {UUID3} as saga_id, {UUID3.replace('h,', 'g,')} as event_id, {UUID3} || ':2:0:reserve' as idempotency_key, 'reserve' as label from (select *, md5({UUID3} || ':2:0') as g from (select o_orderkey, md5('order:' || o_orderkey) as h from orders))")
 def _(spark, sf_dir):
-    o = orders(spark, sf_dir).rows.where("o_orderkey % 11 = 0").withColumn("saga_id", ids.saga_id(F.lit("order"), F.col("o_orderkey").cast("string")))
+    o = orders(spark, sf_dir).rows.withColumn("saga_id", ids.saga_id(F.lit("order"), F.col("o_orderkey").cast("string")))
     key = ids.idempotency_key(F.col("saga_id"), F.lit(2), F.lit(0), F.lit("reserve"))
     return o.select("o_orderkey", "saga_id", ids.saga_event_id(F.col("saga_id"), F.lit(2), F.lit(0)).alias("event_id"), key.alias("idempotency_key"), ids.parse_idempotency_key(key)["label"].alias("label"))
 
@@ -525,19 +538,18 @@ def _(spark, sf_dir):
 # --- delivery and sagas ---------------------------------------------------------
 
 
-@register("outbox_pending", f"{LOG} select sequence_number, event_type, {UUID3} as message_key from log where not is_external and sequence_number > 400 order by sequence_number limit 100")
+@register("outbox_pending", f"{LOG} select sequence_number, event_type, {UUID3} as message_key from log where not is_external and sequence_number > 400")
 def _(spark, sf_dir):
     rows = log_of_events(spark, sf_dir).rows
     outbox = rows.where("not is_external and sequence_number > 400").select("sequence_number")
-    page = rows.join(outbox, "sequence_number").orderBy("sequence_number").limit(100)
-    sent = delivery.event_messages(page, "events")
+    sent = delivery.event_messages(rows.join(outbox, "sequence_number", "left_semi"), "events")
     h = delivery.header_map(F.col("headers"))
     return sent.select(h[delivery.POSITION].cast("long").alias("sequence_number"), h[delivery.EVENT_TYPE].alias("event_type"), F.col("key").alias("message_key"))
 
 
-@register("received_events", f"{LOG} select {UUID3} as event_id, event_type, user_tag, true as is_external from log where sequence_number % 10 = 0")
+@register("received_events", f"{LOG} select {UUID3} as event_id, event_type, user_tag, true as is_external from log")
 def _(spark, sf_dir):
-    rows = log_of_events(spark, sf_dir).rows.where("sequence_number % 10 = 0")
+    rows = log_of_events(spark, sf_dir).rows
     return delivery.received_events(delivery.event_messages(rows, "events")).select("event_id", "event_type", F.col("tags")[0].alias("user_tag"), "is_external")
 
 
@@ -560,14 +572,14 @@ def _(spark, sf_dir):
     return s.instances.join(sent, F.col("id") == F.col("_id")).select("id", "saga_key", "status", "idempotency_key")
 
 
-@register("saga_replied", f"select cast(user_id as varchar) as saga_key, case when user_id % 2 = 0 then 'Completed' else 'Compensated' end as status, 1 as step from (select distinct user_id from events where event_type = 'purchase') where user_id % 3 = 0")
+@register("saga_replied", f"select cast(user_id as varchar) as saga_key, case when user_id % 2 = 0 then 'Completed' else 'Compensated' end as status, 1 as step from (select distinct user_id from events where event_type = 'purchase')")
 def _(spark, sf_dir):
     now = F.expr(NOW)
     s = order_saga()
     instances = saga.started(s, log_of_events(spark, sf_dir).rows, spark.createDataFrame([], saga.SAGA), now).instances
     answer = F.when(F.col("saga_key").cast("long") % 2 == 0, '{"ok":"true"}').otherwise('{"ok":"false"}')
     headers = F.create_map(F.lit(saga.H_SAGA), F.lit("order"), F.lit(saga.H_ID), F.col("id"), F.lit(saga.H_STEP), F.lit("0"))
-    replies = instances.where("cast(saga_key as long) % 3 = 0").select(F.lit("replies").alias("topic"), F.col("id").alias("key"), answer.alias("payload"), headers.alias("headers"))
+    replies = instances.select(F.lit("replies").alias("topic"), F.col("id").alias("key"), answer.alias("payload"), headers.alias("headers"))
     return saga.replied(s, replies, instances, now).instances.select("saga_key", "status", "step")
 
 
@@ -581,57 +593,57 @@ def _(spark, sf_dir):
 # --- the store and streams ------------------------------------------------------
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the cluster names, or a temporary one where it names none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tidemark-")
-
-
-def pending(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+def pending(spark: SparkSession, sf_dir: str, where: str = "true", ids: bool = True) -> DataFrame:
+    """Events to append, by position; without ids the store gives them new ones."""
     rows = log_of_events(spark, sf_dir).rows.withColumn("ordinal", F.col("sequence_number"))
+    rows = rows if ids else rows.withColumn("event_id", F.lit(None).cast("string"))
     return rows.where(where).select(*(f.name for f in T._parse_datatype_string(PENDING).fields), "ordinal")
 
 
-@register("store_append", "select event_id + 1 as sequence_number, event_type, case when event_id < 3000 then 1 else 2 end as commit_group, 'user:' || user_id as user_tag from events where event_id < 4000")
+def half(spark: SparkSession, sf_dir: str) -> int:
+    """Half of the number of events; HALF in SQL."""
+    return read(spark, sf_dir, "events").count() // 2
+
+
+HALF = "(select count(*) // 2 from events)"
+
+
+@register("store_append", f"select event_id + 1 as sequence_number, event_type, case when event_id < {HALF} then 1 else 2 end as commit_group, 'user:' || user_id as user_tag from events")
 def _(spark, sf_dir):
-    """The second append repeats some ids; it checks the revision that the first one left."""
-    store = Store(spark, scratch(spark))
-    store.append(pending(spark, sf_dir, "sequence_number <= 3000"), EventFilter(), 0)
+    """The second append repeats the second half of the first one's ids; it checks the revision that the first one left."""
+    store, n = Store(spark, new_folder(spark)), half(spark, sf_dir)
+    store.append(pending(spark, sf_dir, f"sequence_number <= {n}"), EventFilter(), 0)
     last = store.snapshot().log.revision().first().revision
-    store.append(pending(spark, sf_dir, "sequence_number between 2501 and 4000"), EventFilter(), last)
+    store.append(pending(spark, sf_dir, f"sequence_number > {n // 2}"), EventFilter(), last)
     return store.snapshot().log.read_from().select("sequence_number", "event_type", "commit_group", F.col("tags")[0].alias("user_tag"))
 
 
-@register("store_outbox", "select event_id + 1 as sequence_number, event_type from events where event_id < 1500 and event_type <> 'error' and event_id >= 700")
+@register("store_outbox", f"select event_id + 1 as sequence_number, event_type from events where event_type <> 'error' and event_id >= {HALF}")
 def _(spark, sf_dir):
-    store = Store(spark, scratch(spark))
-    store.append(pending(spark, sf_dir, "sequence_number <= 1500"))
-    store.mark_published(store.snapshot().outbox().where("sequence_number <= 700").select("sequence_number"))
+    store, n = Store(spark, new_folder(spark)), half(spark, sf_dir)
+    store.append(pending(spark, sf_dir, ids=False))
+    store.mark_published(store.snapshot().outbox().where(F.col("sequence_number") <= n).select("sequence_number"))
     return store.snapshot().outbox().select("sequence_number", "event_type")
 
 
-@register("store_projection", ACCOUNT_SQL.format(place="event_id"))
+@register("store_projection", ACCOUNT_SQL.format(place=f"(case when event_id >= {HALF} then event_id else event_id + 100000000000 end)"))
 def _(spark, sf_dir):
-    """Two commits, folded page by page; states and checkpoint read from one manifest."""
-    store = Store(spark, scratch(spark))
-    p = projector.Projector(store, account(), page=4000)
-    for part in ("sequence_number % 10000 <= 5000", "sequence_number % 10000 > 5000"):
-        store.append(pending(spark, sf_dir, f"sequence_number <= 10000 and {part}"))
+    """Two commits, the later half of the events first, folded page by page; states and checkpoint read from one manifest."""
+    store, n = Store(spark, new_folder(spark)), half(spark, sf_dir)
+    p = projector.Projector(store, account(), page=n // 2 + 100)
+    for part in (f"sequence_number > {n}", f"sequence_number <= {n}"):
+        store.append(pending(spark, sf_dir, part, ids=False))
         p.catch_up()
     return p.read_with_cursor()[0].select("key", "state.n", F.round("state.total", 2).alias("total"))
 
 
-#: Of the first 10,000 events, the last one joins the first commit.
-ORACLE_SQL["store_projection"] = ACCOUNT_SQL.format(place="(case when event_id = 9999 then 4999.5 else event_id end)").replace("from events)", "from events where event_id < 10000)")
-
-
 @register("stream_fold", "select cast(user_id as varchar) as key, count(*) as n, round(sum(value), 2) as total from events where event_type = 'purchase' group by 1")
 def _(spark, sf_dir):
     """Keyed state in a streaming query; what the last batches gave each key."""
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*t").where("event_type = 'purchase'")
     keyed = stream.select(F.col("user_id").cast("string").alias("key"), F.lit(0).cast("long").alias("commit_group"), F.col("event_id").alias("sequence_number"), "value")
-    out = scratch(spark)
+    out = new_folder(spark)
     step = lambda s, r: ((s or (0, 0.0))[0] + 1, (s or (0, 0.0))[1] + r["value"])
     sink = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.parquet(f"{out}/rows/{batch}")
     projector.stream_fold(keyed, "n long, total double", step, f"{out}/checkpoint", sink).awaitTermination()
