@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tidemark.plans import operations  # noqa: F401  registers the queries of operations
 from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemark.model import EventSchema, ReadCursor, Scope
 from tidemark.sources.scratch import written
 
+BROKEN = "_corrupt_record"
 EXISTS, MISSING = "state already exists", "state not found"
 State = Callable[..., Column]
 #: What an envelope shows of an event besides its payload; headers as an array of entries.
@@ -159,9 +160,13 @@ class Projection:
             keys = h.keys() if h.keys else self._own_keys()
             case = case.when(F.col("event_type").isin(*h.names), keys.cast(f"array<{self.key_type}>"))
         own = log.where(F.col("event_type").isin(*self.seen))
+        # A payload that is no object, or whose fields have other types, gives no event.
+        kind = T.StructType([*T._parse_datatype_string(self.event).fields, T.StructField(BROKEN, T.StringType())])
+        own = own.withColumn("_parsed", F.from_json("payload", kind, {"columnNameOfCorruptRecord": BROKEN}))
+        event = F.when(F.col(f"_parsed.{BROKEN}").isNull(), F.col("_parsed").dropFields(BROKEN))
         # Entries, because a map has no order and rows are sorted.
         meta = [F.struct(*META, F.map_entries("headers").alias("headers")).alias("meta")] if any(h.envelope for h in self.handlers) else []
-        return own.select(F.explode(F.array_distinct(case)).alias("key"), "commit_group", "sequence_number", "event_type", F.from_json("payload", self.event).alias("event"), *meta)
+        return own.select(F.explode(F.array_distinct(case)).alias("key"), "commit_group", "sequence_number", "event_type", event.alias("event"), *meta)
 
     def step(self, acc: Column, row: Column) -> Column:
         """acc: struct (state, error, failed at); once failed, it stays."""
