@@ -121,10 +121,16 @@ def _place(spark: SparkSession, path: str):
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes what table() wrote, once nothing that is still to run reads it."""
+    """Deletes what table() wrote, once nothing that is still to run reads it.
+
+    Shuffle files and checkpoints of frames that are gone stay until the driver's JVM collects
+    garbage, which with a large heap it may not do for hours; so it is asked to.
+    """
     for df in tables:
         fs, where = _place(df.sparkSession, df.scratch_path)
         fs.delete(where, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

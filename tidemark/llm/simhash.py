@@ -175,32 +175,44 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return found.distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one that has none itself: then that is the smallest of all it reaches."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.where("up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node) for every node of edges (u, v).
+    """node and root (the smallest node) for every node of edges (u, v) but the roots.
 
     Alternating large and small stars: minima and joins only. Minima are written before
     they are joined, so that the edges of a node with very many neighbours, as the root of a
     whole component, are an ordinary skewed join that Spark splits.
     """
     edges = common.checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first())
-
-    now = mark(edges)
-    while now[0]:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = common.checkpoint(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small_least = common.checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         to_least = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = common.checkpoint(to_least.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
-        before, now = now, mark(edges)
-        if now == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots, as components() gives them, after further edges: only what these join is worked out anew."""
+    at = roots.select("node", "root")
+    ends = more
+    for end in ("u", "v"):
+        ends = ends.join(at.withColumnsRenamed({"node": f"_{end}", "root": f"root_{end}"}), F.col(end) == F.col(f"_{end}"), "left")
+    new = components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")))
+    if new.isEmpty():
+        return roots
+    moved = at.join(new.withColumnsRenamed({"node": "_old", "root": "_new"}), F.col("root") == F.col("_old"), "left")
+    return common.checkpoint(moved.select("node", F.coalesce("_new", "root").alias("root")).unionByName(new))
+
+
 def linked(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, tag, fp, root (the smallest fingerprint that links reach), component_id of every document."""
     rows = common.table(fingerprints(docs, shingle, seed))

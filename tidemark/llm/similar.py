@@ -124,6 +124,8 @@ def verified(docs: DataFrame, uniq: DataFrame, pairs: DataFrame) -> DataFrame:
     facts = uniq.select("mark", "n", "s0", "s1", "s2", "s3")
     left = pairs.join(facts.alias("a"), F.col("u") == F.col("a.mark")).join(facts.alias("b"), F.col("v") == F.col("b.mark")).where(may_be_alike("a", "b"))
     first = common.table(left.select("u", "v", (F.col("a.n") + F.col("b.n")).alias("both")))
+    if first.isEmpty():
+        return first.select("u", "v")
 
     def near(batches):
         for batch in batches:
@@ -180,19 +182,17 @@ def linked(docs: DataFrame) -> DataFrame:
     hubs = common.table(postings.groupBy("key").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last").select("key", "hub"))
     shared = common.table(postings.join(hubs, "key"))
     mine = shared.where("mark <> hub").groupBy(F.col("mark").alias("v")).agg(F.min("hub").alias("u")).select("u", "v")
-    edges = verified(docs, uniq, mine.unionByName(indexed(uniq)).distinct())
+    roots = simhash.components(verified(docs, uniq, mine.unionByName(indexed(uniq)).distinct()))
 
     def placed(roots: DataFrame, mark: str) -> DataFrame:
         """With comp, the component of a mark."""
         return roots.select(F.col("node").alias(mark), F.col("root").alias("comp"))
 
     # Texts that are of another component than the smallest of one of their keys.
-    roots = simhash.components(edges)
     at = shared.join(placed(roots, "mark"), "mark", "left").withColumn("comp", F.coalesce("comp", "mark"))
     of_hub = common.checkpoint(hubs.join(placed(roots, "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("hub_comp")))
     more = verified(docs, uniq, at.join(of_hub, "key").where("comp <> hub_comp").select(F.col("hub").alias("u"), F.col("mark").alias("v")).distinct())
-    edges = edges.unionByName(more)
-    roots = simhash.components(edges)
+    roots = simhash.merged(roots, more)
 
     # Keys whose texts are of several components: the pairs that no hub was part of.
     at = common.table(shared.join(placed(roots, "mark"), "mark", "left").select("key", "mark", "hub", F.coalesce("comp", "mark").alias("comp")).where("mark <> hub"))
@@ -201,8 +201,7 @@ def linked(docs: DataFrame) -> DataFrame:
     a, b = rest.alias("a"), rest.alias("b")
     more = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.mark") < F.col("b.mark")) & (F.col("a.comp") != F.col("b.comp")) & may_be_alike("a", "b"))
     more = verified(docs, uniq, more.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct())
-    if not more.isEmpty():
-        roots = simhash.components(edges.unionByName(more))
+    roots = simhash.merged(roots, more)
     found = common.table(simhash.roots_of(uniq.select("mark", "least"), "mark", roots))
     common.forget(uniq, hubs, shared, at, rest)
     return slim.join(found, "mark")
