@@ -2,6 +2,10 @@
 
 Every stage takes the documents that the one before left, and all but the last return them
 with the columns of documents. Documents that mixing takes twice come twice.
+
+Defined results: nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns as the
+operators define them. Texts without words, null ones and those that have lost all, are near-duplicates of each other, are
+drawn by mixing like any other, and packed as an end id. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of those that links of 5-word similarity of 0.8 join."""
+    """SimHash near-dedup at a similarity: one document stays of those that links of 5-word similarity of 0.8 join."""
     return similar.keep_one(docs)
 
 
@@ -47,13 +51,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Models and global parses have no SQL form; tests hold the stages against brute force.
+#: Models and global parses have no SQL form; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again as the next one's input."""
     docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    before = None
+    for _, stage in STAGES[:-1]:
         docs = common.table(stage(spark, docs, sf_dir))
+        if before is not None:
+            common.forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
