@@ -317,3 +317,153 @@ def test_saga(spark, store):
     assert runner.expire(t0) == 0 and runner.expire(F.expr("timestamp'2024-01-01 00:01:00'")) == 1
     assert {(r.saga_key, r.status) for r in runner.instances().collect()} == {("a", "Completed"), ("b", "Compensated"), ("c", "Failed")}
     assert store.snapshot().log.read_from(0, EventFilter.of(["Done"])).first().tags == ["book:a"]
+
+
+def test_two_runners_move_an_instance_once(spark, store):
+    """A reply and a deadline, decided on the same state, race: the first one moves the instance, the other one changes and sends nothing."""
+    s = saga.Saga(
+        "lend", "Lent", lambda p: F.get_json_object(p, "$.book"),
+        lambda p: saga.decision(saga.PENDING, p, [saga.message("stock", p, "reserve")], deadline=30.0),
+        lambda d, r: saga.decision(saga.COMPLETED, d, [saga.message("stock", d, "done")]),
+        lambda d: saga.decision(saga.FAILED, d, [saga.message("stock", d, "failed")]),
+    )
+    store.append(pending(spark, event("Lent", "a"), event("Lent", "b")))
+    one, two = saga.SagaRunner(store, s), saga.SagaRunner(store, s)
+    t0, t1 = F.expr("timestamp'2024-01-01 00:00:00'"), F.expr("timestamp'2024-01-01 00:01:00'")
+    assert one.start(t0) == 2 and two.start(t0) == 0
+    replies = saga.Participant([("reserve", lambda p: F.lit('{"ok":"true"}'))]).replies(store.snapshot().messages(), t0)
+    answered = saga.replied(s, replies.where(F.get_json_object(F.col("payload"), "$.ok") == "true"), one.instances(), t0)
+    failed = saga.timed_out(s, saga.due(two.instances(), t1), t1)
+    done: dict = {}
+    ts = [threading.Thread(target=lambda k=k, r=r, x=x: done.__setitem__(k, r._apply(x))) for k, r, x in (("reply", one, answered), ("deadline", two, failed))]
+    for t in ts:
+        t.start()
+    for t in ts:
+        t.join()
+    assert sorted(done.values()) == [0, 2]
+    assert {r.status for r in one.instances().collect()} == {"Completed" if done["reply"] else "Failed"} and store.snapshot().messages().count() == 4
+
+
+def test_claims_are_out_of_reach_until_they_run_out(spark, store):
+    now = F.expr("timestamp'2024-01-01 00:01:00'")
+    row = lambda k: (f"i{k}", "s", str(k), "Pending", 0, "{}")
+    rows = spark.createDataFrame([row(k) for k in range(5)], "id string, saga_name string, saga_key string, status string, step int, data string")
+    t = F.expr("timestamp'2024-01-01 00:00:00'")
+    store.persist("saga_instances", saga.SAGA, ("id",), rows.withColumns({"deadline": t, "created_at": t, "updated_at": t}))
+    took: list = []
+    ts = [threading.Thread(target=lambda: took.extend(r.id for r in saga.claim(store, "saga_instances", "s", now, 3).collect())) for _ in range(2)]
+    for x in ts:
+        x.start()
+    for x in ts:
+        x.join()
+    assert sorted(took) == [f"i{k}" for k in range(5)]
+    version = store.snapshot().manifest.version
+    assert saga.claim(store, "saga_instances", "s", now).isEmpty() and store.snapshot().manifest.version == version
+    assert saga.claim(store, "saga_instances", "s", F.expr("timestamp'2024-01-01 00:02:00'")).count() == 5
+
+
+def test_upkeep(spark, store):
+    for k in range(4):
+        store.append(pending(spark, {"id": f"e{k}", "type": "A", "tags": [f"x:{k}"]}))
+        store.enqueue(spark.createDataFrame([("t", None, str(k), {})], "topic string, key string, payload string, headers map<string,string>"))
+    store.mark_published(store.snapshot().outbox(2).select("sequence_number"))
+    store.mark_sent(store.snapshot().messages(3).select("id"))
+    old = store.snapshot()
+    assert store.compact(9) == [] and sorted(store.compact(2)) == ["event_outbox", "log", "message_done", "message_outbox", "published", "tags"]
+    now = store.snapshot()
+    assert old.log.rows.count() == now.log.rows.count() == 4 and all(len(d) <= 1 for d in now.manifest.tables.values())
+    assert [r.event_id for r in now.outbox(9).collect()] == ["e2", "e3"] and [r.payload for r in now.messages(9).collect()] == ["3"]
+    assert store.vacuum(3600) == 0 and store.vacuum(-1) > 10
+    assert store.files.versions() == [now.manifest.version] and store.snapshot().log.revision(EventFilter.of(tags=["x:3"])).first().revision == 4
+    store.append(pending(spark, {"id": "e1", "type": "A"}, {"id": "e9", "type": "A"}))
+    assert [r.sequence_number for r in store.snapshot().log.read_from(ordered=True).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_commits_that_change_nothing_leave_no_manifest(spark, store):
+    store.append(pending(spark, {"type": "A"}))
+    store.commit(lambda now, m: None)
+    assert store.files.versions() == [1]
+
+
+def test_object_stores_need_a_conditional_create(spark):
+    """A file system that renames by copying is asked for a conditional create; one that knows none is refused."""
+    asked: list = []
+
+    class Builder:
+        def __init__(self, knows):
+            self.knows = knows
+
+        def recursive(self):
+            return self
+
+        def overwrite(self, yes):
+            assert not yes
+            return self
+
+        def must(self, option, value):
+            asked.append((option, value))
+            if not self.knows:
+                raise ValueError("unknown option")
+            return self
+
+        def build(self):
+            raise RuntimeError("FileAlreadyExistsException")
+
+    for knows, error in ((True, Lost), (False, NotImplementedError)):
+        files = Store(spark, "s3a://bucket/store").files
+        files._fs = lambda path, knows=knows: (type("Fs", (), {"createFile": lambda self, p: Builder(knows)})(), path)
+        with pytest.raises(error):
+            files.create(1, {})
+    assert asked == [("fs.option.create.conditional.overwrite", True)] * 2
+
+
+def test_live_projections_wake_for_their_own_events(spark, store, tmp_path):
+    both = [projector.Projector(store, books()), projector.Projector(store, fold.Projection("others", "bigint", EVENT, [fold.on(EventSchema("Other", "book string")).set(lambda e: F.lit(1).cast("bigint"))], scopes=(BOOK,)))]
+    passes: list = []
+    for p in both:
+        real = p.catch_up
+        p.catch_up = lambda p=p, real=real: (passes.append(p.name), real())
+    q = projector.run_live(both, str(tmp_path / "cp"))
+    store.append(pending(spark, event("Added", "a", 5)))
+    assert both[0].wait_for(ReadCursor(1, 1), 60)
+    q.processAllAvailable()
+    assert set(passes) == {"books", "others"}  # the first time all of them
+    passes.clear()
+    store.append(pending(spark, event("Lent", "a")))
+    q.processAllAvailable()
+    assert "others" not in passes and "books" in passes
+    passes.clear()
+    both[1].pause()
+    q.processAllAvailable()
+    q.stop()
+    assert "others" in passes
+
+
+def test_kafka_options(spark):
+    t = delivery.KafkaTopics(spark, "host:9092")
+    assert t.write_options["kafka.enable.idempotence"] == "true" and t.write_options["includeHeaders"] == "true"
+    assert t.read_options("x")["subscribe"] == "x" and t.read_options("x")["startingOffsets"] == "earliest"
+    for f in (t.read, t.stream):  # the connector is not there
+        with pytest.raises(Exception, match="(?i)kafka"):
+            f("x")
+
+
+def test_long_histories_by_parts(spark, store):
+    for n in (5, 3):
+        store.append(pending(spark, *(event("Added" if k == 0 and n == 5 else "Lent", "ab"[k % 7 == 6 and n == 3]) for k in range(n * 4)), event("Added", f"b{n}")))
+    log = store.snapshot().log
+    c = fold.Projection("c", "struct<n:bigint,last:bigint>", EVENT, [fold.on(ADDED, LENT, envelope=True).upsert(lambda s, e, m: F.struct((F.coalesce(s["n"], F.lit(0)) + 1).alias("n"), m["sequence_number"].alias("last")))], scopes=(BOOK,))
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(fold.fold_columns(c, log.rows))
+    before = spark.createDataFrame([("a", (100, 0)), ("zz", (1, 1))], "key string, state struct<n:bigint,last:bigint>")
+    for longest in (1, 4, 7, 1000):
+        assert rows(fold.fold_columns(c, log.rows, longest=longest)) == whole
+        assert rows(fold.fold_columns(c, log.rows, before, longest)) == rows(fold.fold_columns(c, log.rows, before))
+    h = lend()
+    h.rejects = []
+    commands = spark.createDataFrame([(1, ("a", 1)), (2, ("a", 1)), (3, ("a", 2)), (4, ("b5", 1)), (5, ("none", 1))], "command_id int, command struct<book:string,n:bigint>")
+    assert not h.folds_by_command
+    want = rows(h.evaluate(log, commands))
+    assert all(rows(h.evaluate(log, commands, longest=k)) == want for k in (3, 1000))
+    h.evolves = [Evolve(ADDED, lambda s, e, c: F.struct(F.lit(True).alias("there"), c["n"].alias("left"))), Evolve(LENT, lambda s, e, c: F.struct(s["there"].alias("there"), (s["left"] + 1).alias("left")))]
+    assert h.folds_by_command and rows(h.evaluate(log, commands, longest=3)) == rows(h.evaluate(log, commands))
