@@ -7,13 +7,13 @@ any one order of all shingles, two sets that are alike meet in the first `n - ce
 their prefixes. The order puts shingles that a bounded sample of texts shares last, rarest first, so that
 common lines are in few prefixes; what the sample holds changes the work only, never the result.
 
-1. Candidates are, for each text, the smallest of its component in the byte index, and the smallest text of all
-   keys (shingles in prefixes) that it has: two pairs a text.
+1. In each round every key (a shingle in prefixes) whose texts are of several components names one of them: the smallest in the first round,
+   then one in an order of the key's own. The texts of other components are candidates with it; in the first round only with the smallest
+   that their keys name, and with the smallest of their component in the byte index. So there are at most as many candidates as postings.
 2. Candidates are held to the sizes and to parity bits, which differ in no more places than the sets do: first 256,
    then about as many as a text has shingles. What is left is held to the shingles of the texts themselves.
-3. Each key links those of its texts to its smallest one that are of another component by now, verified alike.
-4. Where a key's texts hang together now, nothing is left to find. Other keys give their pairs of
-   texts of different components, held to the same bounds within the join.
+3. When a round joins nothing more, or ROUNDS are over, the keys whose texts still are of several components give their pairs of
+   texts of different components, held to the same bounds within the join. Large groups of copies hang together by then.
 
 Components join as in simhash.
 
@@ -36,6 +36,8 @@ from . import common, simhash
 SHINGLE = 5
 #: The sample that finds common shingles: texts, texts that must share one, most that are kept.
 SAMPLE, SHARED, COMMON = 5_000, 4, 50_000
+#: Rounds of candidates that grow with the postings alone, before pairs.
+ROUNDS = 5
 #: Up to so many texts, those to be compared are looked up by a broadcast of their hashes.
 BROADCAST = 100_000
 
@@ -171,6 +173,12 @@ def indexed(uniq: DataFrame) -> DataFrame:
     return uniq.select("mark", "fp").join(linked, "fp").where("mark <> u").select("u", F.col("mark").alias("v"))
 
 
+def placed(rows: DataFrame, roots: DataFrame, mark: str, comp: str) -> DataFrame:
+    """rows with the component of a mark."""
+    at = roots.select(F.col("node").alias(mark), F.col("root").alias(comp))
+    return rows.join(at, mark, "left").withColumn(comp, F.coalesce(comp, mark))
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, tag, root (the smallest mark that links reach), component_id of every document."""
     common.prepare(docs.sparkSession)
@@ -178,24 +186,34 @@ def linked(docs: DataFrame) -> DataFrame:
     uniq = common.table(rows.groupBy("mark").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("tag", "fp", "n", "s0", "s1", "s2", "s3", "bits", "keys"))))
     slim = common.table(rows.select("doc_id", "tag", "mark"))
     common.forget(rows)
-    postings = uniq.select("mark", F.explode("keys").alias("key"))
-    hubs = common.table(postings.groupBy("key").agg(F.min("mark").alias("hub"), F.max("mark").alias("last")).where("hub < last").select("key", "hub"))
-    shared = common.table(postings.join(hubs, "key"))
-    mine = shared.where("mark <> hub").groupBy(F.col("mark").alias("v")).agg(F.min("hub").alias("u")).select("u", "v")
-    roots = simhash.components(verified(docs, uniq, mine.unionByName(indexed(uniq)).distinct()))
-
-    def placed(roots: DataFrame, mark: str) -> DataFrame:
-        """With comp, the component of a mark."""
-        return roots.select(F.col("node").alias(mark), F.col("root").alias("comp"))
-
-    # Texts that are of another component than the smallest of one of their keys.
-    at = shared.join(placed(roots, "mark"), "mark", "left").withColumn("comp", F.coalesce("comp", "mark"))
-    of_hub = common.checkpoint(hubs.join(placed(roots, "hub"), "hub", "left").select("key", F.coalesce("comp", "hub").alias("hub_comp")))
-    more = verified(docs, uniq, at.join(of_hub, "key").where("comp <> hub_comp").select(F.col("hub").alias("u"), F.col("mark").alias("v")).distinct())
-    roots = simhash.merged(roots, more)
-
-    # Keys whose texts are of several components: the pairs that no hub was part of.
-    at = common.table(shared.join(placed(roots, "mark"), "mark", "left").select("key", "mark", "hub", F.coalesce("comp", "mark").alias("comp")).where("mark <> hub"))
+    rows = common.table(uniq.select(F.explode("keys").alias("key"), "mark"))
+    roots = None
+    for r in range(ROUNDS):
+        # Marks are hashes: turned by bits of the key and round, they come in another order.
+        turn = F.lit(0).cast("long") if r == 0 else F.xxhash64("key", F.lit(r))
+        now = rows if roots is None else placed(rows, roots, "mark", "comp")
+        own = F.col("mark") if roots is None else F.col("comp")
+        named = now.groupBy("key").agg(F.min(F.col("mark").bitwiseXOR(turn)).alias("hub"), F.min(own).alias("x"), F.max(own).alias("y")).where("x < y").select("key", F.col("hub").bitwiseXOR(turn).alias("hub"))
+        named = common.table(named)
+        before, rows = rows, common.table(rows.join(named, "key", "left_semi"))
+        if roots is None:
+            at = rows.withColumn("comp", F.col("mark")).join(named.withColumn("hub_comp", F.col("hub")), "key")
+        else:
+            at = placed(rows, roots, "mark", "comp").join(common.checkpoint(placed(named, roots, "hub", "hub_comp")), "key")
+        at = at.where("comp <> hub_comp").select(F.col("hub").alias("u"), F.col("mark").alias("v"))
+        if roots is None:
+            pairs = at.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+            roots = simhash.components(verified(docs, uniq, pairs.unionByName(indexed(uniq)).distinct()))
+        else:
+            more = verified(docs, uniq, at.distinct())
+            joins = not more.isEmpty()
+            roots = simhash.merged(roots, more) if joins else roots
+        common.forget(before, named)
+        if r and not joins:
+            break
+
+    # Keys whose texts are of several components still.
+    at = common.table(placed(rows, roots, "mark", "comp"))
     open_keys = common.checkpoint(at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key"))
     rest = common.table(at.join(open_keys, "key", "left_semi").join(uniq.select("mark", "n", "s0", "s1", "s2", "s3"), "mark"))
     a, b = rest.alias("a"), rest.alias("b")
@@ -203,7 +221,7 @@ def linked(docs: DataFrame) -> DataFrame:
     more = verified(docs, uniq, more.select(F.col("a.mark").alias("u"), F.col("b.mark").alias("v")).distinct())
     roots = simhash.merged(roots, more)
     found = common.table(simhash.roots_of(uniq.select("mark", "least"), "mark", roots))
-    common.forget(uniq, hubs, shared, at, rest)
+    common.forget(uniq, rows, at, rest)
     return slim.join(found, "mark")
 
 
