@@ -6,8 +6,9 @@ the bins; its root tells at once whether any bin fits, a walk down finds the lef
 groups are dealt by a hash, hold a bounded number of pieces and are packed apart, so the
 work is spread and nothing gathers in one task.
 
-Defined results: a null or empty text is the end id alone; a null doc_id stays null;
-repeated rows are packed as often as they come; an empty table gives no rows; other
+Defined results: a null or empty text is the end id alone; a very long text is tokenized whole, some 20 bytes of
+memory a byte of text, and makes many pieces, dealt to the groups one by one; a null doc_id, or one that is no number, is null;
+pieces of equal length are placed by doc_id (null last), then start; repeated rows are packed as often as they come; an empty table gives no rows; other
 columns are ignored, whatever their names.
 """
 
