@@ -129,7 +129,7 @@ def forget(*tables: DataFrame) -> None:
     for df in tables:
         fs, where = _place(df.sparkSession, df.scratch_path)
         fs.delete(where, True)
-    gc.collect()
+    trim()
     tables[0].sparkSession._jvm.System.gc()
 
 

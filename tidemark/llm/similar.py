@@ -37,7 +37,7 @@ SHINGLE = 5
 #: The sample that finds common shingles: texts, texts that must share one, most that are kept.
 SAMPLE, SHARED, COMMON = 5_000, 4, 50_000
 #: Rounds of candidates that grow with the postings alone, before pairs.
-ROUNDS = 5
+ROUNDS = 3
 #: Up to so many texts, those to be compared are looked up by a broadcast of their hashes.
 BROADCAST = 100_000
 
@@ -186,8 +186,7 @@ def linked(docs: DataFrame) -> DataFrame:
     uniq = common.table(rows.groupBy("mark").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("tag", "fp", "n", "s0", "s1", "s2", "s3", "bits", "keys"))))
     slim = common.table(rows.select("doc_id", "tag", "mark"))
     common.forget(rows)
-    rows = common.table(uniq.select(F.explode("keys").alias("key"), "mark"))
-    roots = None
+    rows, roots = uniq.select(F.explode("keys").alias("key"), "mark"), None
     for r in range(ROUNDS):
         # Marks are hashes: turned by bits of the key and round, they come in another order.
         turn = F.lit(0).cast("long") if r == 0 else F.xxhash64("key", F.lit(r))
@@ -208,7 +207,7 @@ def linked(docs: DataFrame) -> DataFrame:
             more = verified(docs, uniq, at.distinct())
             joins = not more.isEmpty()
             roots = simhash.merged(roots, more) if joins else roots
-        common.forget(before, named)
+        common.forget(named, *([before] if r else []))
         if r and not joins:
             break
 

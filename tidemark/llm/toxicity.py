@@ -190,9 +190,16 @@ class Vocabulary:
         known: dict[str, int] = {}
         number = lambda w: known.setdefault(w, len(known))
         codes = [np.fromiter(map(number, t.lower().split()), np.int32) for t in texts]
-        hashes = [[zlib.crc32(f.encode()) for f in features(b)] if (b := bare(w)) else [] for w in known]
-        sizes = np.array([len(h) for h in hashes], np.int64)
-        flat = np.fromiter((x for h in hashes for x in h), np.uint32, int(sizes.sum()))
+        sizes = np.zeros(len(known), np.int64)
+
+        def hashes():
+            for k, w in enumerate(known):
+                own = features(b) if (b := bare(w)) else []
+                sizes[k] = len(own)
+                for f in own:
+                    yield zlib.crc32(f.encode())
+
+        flat = np.fromiter(hashes(), np.uint32)
         distinct, feature = np.unique(flat, return_inverse=True)
         return Vocabulary(codes, (flat % SLOTS).astype(np.int64), sizes, feature, len(distinct), np.array([w.endswith(ENDS) for w in known], bool))
 
@@ -344,7 +351,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     all_of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     seen = Counter(texts.values())
     shift = 0.0 if len(seen) < 2 else float(np.log(all_of[1] / all_of[0]) - np.log(seen[1] / seen[0]))
-    return learn(list(texts), list(texts.values()), shift)
+    field = learn(list(texts), list(texts.values()), shift)
+    del texts
+    common.trim()  # the driver has other things to do with that memory
+    return field
 
 
 SCORED = "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>"
