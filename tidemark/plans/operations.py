@@ -39,6 +39,11 @@ def filled(spark: SparkSession, sf_dir: str) -> Store:
     return store
 
 
+def failures(done: DataFrame) -> DataFrame:
+    """Counts, with the error and the position of the first failing event of each key, if there is one."""
+    return done.select("key", F.coalesce("state", F.lit(0)).alias("n"), F.coalesce("error", F.lit("")).alias("error"), F.coalesce("position", F.lit(-1)).cast("long").alias("position"))
+
+
 def refused(f) -> bool:
     """Whether f() raises ValueError."""
     try:
@@ -78,13 +83,13 @@ def _(spark, sf_dir):
     f"""with l as (select user_id, value, event_id + 1 as pos, {PLACE} as place, row_number() over (partition by user_id order by {PLACE}) as r from events where event_type = 'purchase'),
     bad as (select *, case when value > 90 then 'too large' when r > 3 then 'too many' end as error from l),
     f as (select user_id, min(place) as place, arg_min(error, place) as error, arg_min(pos, place) as position from bad where error is not null group by 1)
-    select cast(l.user_id as varchar) as key, count(*) filter (f.place is null or l.place < f.place) as n, any_value(f.error) as error, any_value(f.position) as position from l left join f on l.user_id = f.user_id group by 1""",
+    select cast(l.user_id as varchar) as key, count(*) filter (f.place is null or l.place < f.place) as n, coalesce(any_value(f.error), '') as error, coalesce(any_value(f.position), -1) as position from l left join f on l.user_id = f.user_id group by 1""",
 )
 def _(spark, sf_dir):
     """Rules before the operation; the first that holds stops the key."""
     h = on(SCHEMAS["purchase"]).upsert(lambda s, e: F.coalesce(s, F.lit(0)) + 1).reject((lambda s, e: e["value"] > 90, "too large"), (lambda s, e: s >= 3, "too many"))
     done = whole(fold.Projection("limited", "bigint", EVENT, [h], scopes=(USER,)), spark, sf_dir)
-    return done.select("key", F.coalesce("state", F.lit(0)).alias("n"), "error", "position")
+    return failures(done)
 
 
 @register("family_projection", "select cast(user_id as varchar) as key, count(*) as n from events where event_type in ('click', 'view', 'error') group by 1")
@@ -103,14 +108,14 @@ def _(spark, sf_dir):
     "payload_mismatch",
     f"""with l as (select user_id, event_id + 1 as pos, {PLACE} as place, cast(json_extract(props, '$.k') as bigint) % 5 = 0 as broken from events where event_type = 'view'),
     f as (select user_id, min(place) as place, arg_min(pos, place) as position from l where broken group by 1)
-    select cast(l.user_id as varchar) as key, count(*) filter (f.place is null or l.place < f.place) as n, case when any_value(f.place) is not null then 'payload does not fit' end as error, any_value(f.position) as position
+    select cast(l.user_id as varchar) as key, count(*) filter (f.place is null or l.place < f.place) as n, case when any_value(f.place) is not null then 'payload does not fit' else '' end as error, coalesce(any_value(f.position), -1) as position
     from l left join f on l.user_id = f.user_id group by 1""",
 )
 def _(spark, sf_dir):
     rows = log_of_events(spark, sf_dir).rows
     broken = F.get_json_object("payload", "$.k").cast("long") % 5 == 0
     rows = rows.withColumn("payload", F.when(broken, F.lit("[1]")).otherwise(F.col("payload")))
-    return fold.fold_columns(counts("views", "view"), rows, longest=LONGEST).select("key", F.coalesce("state", F.lit(0)).alias("n"), "error", "position")
+    return failures(fold.fold_columns(counts("views", "view"), rows, longest=LONGEST))
 
 
 @register(
