@@ -46,6 +46,11 @@ def only_cache(name: str, make: Callable[[], object]):
     return _cache[1]
 
 
+def drop_cache() -> None:
+    """For stages without a cache: a worker that is reused gives up what another operator left."""
+    only_cache("", lambda: None)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

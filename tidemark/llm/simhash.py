@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     """doc_id, tag (a hash that tells texts apart) and fp, the fingerprint as a signed long."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+        common.drop_cache()
         fp = fingerprints_of(texts, shingle, seed).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(fp)], ["doc_id", "tag", "fp"])
 
@@ -148,6 +149,7 @@ def _gathered(rows: DataFrame, distance: int) -> DataFrame:
     """Links (u, v) of postings that may be gathered."""
 
     def run(batches):
+        common.drop_cache()
         for batch in batches:
             edges = [forest(row.values.to_numpy(), distance) for row in batch.column("fps")]
             u, v = (np.concatenate(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 2

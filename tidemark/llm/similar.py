@@ -86,6 +86,7 @@ def common_shingles(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
     """Shingles that several texts of a sample share, as sorted hashes and the number of texts."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+        common.drop_cache()
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t).view(np.int64) for t in texts]))], ["h"])
 
     some = common.with_text(docs).where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(max(1, -(-total // SAMPLE)))) == 0)
@@ -100,6 +101,7 @@ def sets(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, tag (a hash of the text), mark (a hash of its shingles), fp (their fingerprint), n, s0 to s3 (parity bits), bits (more of them) and keys, the prefix."""
 
     def run(batch: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+        common.drop_cache()
         found = [shingles(t) for t in texts]
         mark = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
         fp = np.array([simhash.majority(s) for s in found], np.uint64).view(np.int64)
@@ -130,6 +132,7 @@ def verified(docs: DataFrame, uniq: DataFrame, pairs: DataFrame) -> DataFrame:
         return first.select("u", "v")
 
     def near(batches):
+        common.drop_cache()
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("bu", "bv", "both"))
             yield batch.select(["u", "v"]).filter(pa.array([9 * least_difference(x, y) <= n for x, y, n in zip(*columns)], pa.bool_()))
@@ -145,6 +148,7 @@ def verified(docs: DataFrame, uniq: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = common.table(texts)
 
     def run(batches):
+        common.drop_cache()
         known: dict[int, np.ndarray] = {}
 
         def of(mark: int, text) -> np.ndarray:
@@ -158,6 +162,8 @@ def verified(docs: DataFrame, uniq: DataFrame, pairs: DataFrame) -> DataFrame:
             u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             good = [alike(of(a, x), of(b, y)) for a, b, x, y in zip(u, v, batch.column("tu"), batch.column("tv"))]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+        known.clear()
+        common.trim()
 
     one = left.join(texts.select(F.col("mark").alias("u"), F.col("text").alias("tu")), "u")
     two = one.join(texts.select(F.col("mark").alias("v"), F.col("text").alias("tv")), "v").select("u", "v", "tu", "tv")

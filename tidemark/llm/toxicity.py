@@ -33,7 +33,7 @@ from . import common
 
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_SENTENCES, LONGEST = 2500, 48 << 20, 8000, 2000
 SLOTS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 ENDS = (".", "!", "?")
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
