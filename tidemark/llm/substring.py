@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, ROUNDS = 35, 3
-CACHE_WORDS = 200_000
+#: Text that a worker handles in one go: its words and numbers take some thirty times that.
+CHUNK_BYTES = 256 << 10
 _U = np.uint64
 # Odd multipliers.
 MIX1, MIX2, BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
@@ -57,16 +58,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word) or 1
-        return h
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(common.only_cache("word hashes", _Hashes).__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    h[h == 0] = 1
+    return h
 
 
 def recompress(words: np.ndarray, gap: np.ndarray, rounds: int) -> tuple[np.ndarray, ...]:
@@ -204,13 +199,14 @@ def _text(docs: DataFrame, *keep) -> DataFrame:
 
 def all_segments(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     def run(_: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+        common.drop_cache()
         text, first, n, anchor, content = segments(Chunk(texts), window, rounds)
         own = text_keys(texts)[text]
         columns = [own[:, 0].copy(), own[:, 1].copy(), anchor.view(np.int64), content.view(np.int64), packed(first, n)]
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), [x.split()[0] for x in SEGMENT.split(", ")])
 
     common.prepare(docs.sparkSession)
-    return _text(docs).mapInArrow(common.per_chunk(run), SEGMENT)
+    return _text(docs).mapInArrow(common.per_chunk(run, CHUNK_BYTES), SEGMENT)
 
 
 def compressed(docs: DataFrame) -> DataFrame:
@@ -218,6 +214,7 @@ def compressed(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("text", F.col("text").cast("binary")).withColumns({k: F.lit(0).cast("long") for k in KEY}).schema
 
     def run(batches):
+        common.drop_cache()
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
             k = b.schema.get_field_index("text")
@@ -226,6 +223,7 @@ def compressed(docs: DataFrame) -> DataFrame:
             for name, column in zip(KEY, text_keys(texts).T):
                 b = b.append_column(name, pa.array(column.copy()))
             yield b
+        common.trim()
 
     return docs.mapInArrow(run, out)
 
@@ -235,35 +233,37 @@ def _unzipped(batch: pa.RecordBatch) -> list[bytes | None]:
     return [None if z is None else unzip.decompress(z) for z in batch.column("text").to_pylist()]
 
 
-def _bounded(batch: pa.RecordBatch):
-    """Slices of a batch of compressed texts that hold a bounded amount of text."""
-    sizes = [0 if z is None else zstandard.get_frame_parameters(z).content_size for z in batch.column("text").to_pylist()]
-    start = size = 0
-    for i, n in enumerate(sizes):
-        if i > start and size + n > common.CHUNK_BYTES:
-            yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += n
-    if start < len(sizes):
-        yield batch.slice(start)
+def _bounded(batches):
+    """Slices of batches of compressed texts that hold a bounded amount of text."""
+    common.drop_cache()
+    for batch in batches:
+        sizes = [0 if z is None else zstandard.get_frame_parameters(z).content_size for z in batch.column("text").to_pylist()]
+        start = size = 0
+        for i, n in enumerate(sizes):
+            if i > start and size + n > CHUNK_BYTES:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < len(sizes):
+            yield batch.slice(start)
+    common.trim()
 
 
 def single_windows(held: DataFrame, window: int) -> DataFrame:
     """The windows, one by one, of segments: held has k0, k1, compressed text, segments (array of place and anchor)."""
 
     def run(batches):
-        for whole in batches:
-            for b in _bounded(whole):
-                chunk = Chunk(_unzipped(b))
-                keys = np.stack([b.column(k).to_numpy() for k in KEY])
-                rows: list[tuple[np.ndarray, ...]] = []
-                for i, own in enumerate(b.column("segments")):
-                    place, anchor = (x.to_numpy() for x in own.values.flatten())
-                    first, n, lonely = unpacked(place)
-                    each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    at = each + chunk.base[i]
-                    rows.append((*np.repeat(keys[:, i : i + 1], len(each), 1), np.repeat(anchor, n), chunk.content(at, at + window).view(np.int64), packed(each, 1, np.repeat(lonely, n))))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], [x.split()[0] for x in SEGMENT.split(", ")])
+        for b in _bounded(batches):
+            chunk = Chunk(_unzipped(b))
+            keys = np.stack([b.column(k).to_numpy() for k in KEY])
+            rows: list[tuple[np.ndarray, ...]] = []
+            for i, own in enumerate(b.column("segments")):
+                place, anchor = (x.to_numpy() for x in own.values.flatten())
+                first, n, lonely = unpacked(place)
+                each = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                at = each + chunk.base[i]
+                rows.append((*np.repeat(keys[:, i : i + 1], len(each), 1), np.repeat(anchor, n), chunk.content(at, at + window).view(np.int64), packed(each, 1, np.repeat(lonely, n))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], [x.split()[0] for x in SEGMENT.split(", ")])
 
     return held.select(*KEY, "text", "segments").mapInArrow(run, SEGMENT)
 
@@ -324,14 +324,13 @@ def digests(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
 
     def run(batches):
-        for whole in batches:
-            for b in _bounded(whole):
-                rows = []
-                for doc_id, text, places in zip(b.column("doc_id").to_pylist(), _unzipped(b), _places(b)):
-                    words, kept = _kept(text, places, window)
-                    rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*[pa.int64()] * 3, pa.string()])], [x.split()[0] for x in KEPT.split(", ")])
+        for b in _bounded(batches):
+            rows = []
+            for doc_id, text, places in zip(b.column("doc_id").to_pylist(), _unzipped(b), _places(b)):
+                words, kept = _kept(text, places, window)
+                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [*[pa.int64()] * 3, pa.string()])], [x.split()[0] for x in KEPT.split(", ")])
 
     return _with_places(_text(docs, common.doc_id()), window, rounds).mapInArrow(run, KEPT)
 
@@ -342,13 +341,12 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     boxed = _text(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("box"))
 
     def run(batches):
-        for whole in batches:
-            for b in _bounded(whole):
-                texts = []
-                for text, places in zip(_unzipped(b), _places(b)):
-                    words, kept = _kept(text, places, window)
-                    texts.append(text if text is None or len(kept) == len(words) else b" ".join(kept))
-                yield pa.RecordBatch.from_arrays([b.column("box"), pa.array(texts, pa.binary()).cast(pa.string())], ["box", "text"])
+        for b in _bounded(batches):
+            texts = []
+            for text, places in zip(_unzipped(b), _places(b)):
+                words, kept = _kept(text, places, window)
+                texts.append(text if text is None or len(kept) == len(words) else b" ".join(kept))
+            yield pa.RecordBatch.from_arrays([b.column("box"), pa.array(texts, pa.binary()).cast(pa.string())], ["box", "text"])
 
     found = _with_places(boxed, window, rounds).mapInArrow(run, boxed.schema)
     return found.select(*(F.col("text") if c == "text" else F.col(f"box.`{c}`") for c in docs.columns))
