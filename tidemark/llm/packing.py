@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,25 @@ PACKED = PIECE + ", sequence_id long, offset long"
 #: Pieces that a group holds on average; repeated rows are dealt out by so many, too.
 GROUP_PIECES = 2048
 
-#: Distinct words, as they stand and without signs, that a worker keeps with their ids.
-CACHE_WORDS, CACHE_PARTS = 200_000, 350_000
+#: Distinct words without the signs that follow them, and signs, that a worker keeps with their ids.
+CACHE_PARTS = 350_000
 
 #: Signs that a tokenizer cuts from the letters before them.
 SIGNS = ".,;:!?%#$&*()[]|\""
 
+#: Conjoining Hangul letters: the only letters that composition joins with a neighbour.
+JAMO = (range(0x1100, 0x1200), range(0xA960, 0xA980), range(0xD7B0, 0xD800))
+
+
+def letters() -> str:
+    """Letters that a tokenizer keeps together, and that normalization treats alone as in a word.
+
+    Only those of long standing: the tokenizer's tables may be of another Unicode version.
+    """
+    old = unicodedata.ucd_3_2_0.category
+    found = (c for n, c in enumerate(map(chr, range(0x10000))) if c.isalpha() and old(c)[0] == "L" and not any(n in r for r in JAMO))
+    return "".join(c for c in found if c.lower().isalpha() and unicodedata.normalize("NFC", c) == c)
+
 
 class _Table:
     """Rows of ids of any length, in flat arrays; row 0 is empty."""
@@ -56,22 +71,11 @@ class _Table:
         return self.ids[np.repeat(self.start[rows] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
-class _Rows(dict):
-    """Numbers words from 1 as they come, and lists the new ones."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        n = self[word] = len(self) + 1
-        return n
-
-
 class WordIds:
-    """Token ids of whole texts, from a cache of the ids of each distinct word.
+    """Token ids of whole texts, from a cache of the ids of each distinct part of a word.
 
-    Right for tokenizers that drop white space, never join what it separates, and cut
+    Texts are cut and their distinct words counted out by Arrow; only the distinct parts of a
+    chunk become Python strings. Right for tokenizers that drop white space, never join what it separates, and cut
     between letters and the signs that follow them.
     """
 
@@ -84,65 +88,64 @@ class WordIds:
         suffix, name = self.tokenizer.model.end_of_word_suffix, self.tokenizer.id_to_token
         #: Ids that end a word.
         self.last = np.array([bool(suffix) and (name(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())], bool)
+        self.letters, self.signs = pc.TrimOptions(letters()), pc.TrimOptions(SIGNS)
         self.clear()
 
     def clear(self) -> None:
-        self.forget_words()
         self.part: dict[str, int] = {"": 0}
         self.parts = _Table()
 
-    def forget_words(self) -> None:
-        self.row = _Rows()
-        self.words = _Table()
-
-    def _learn_parts(self, parts: set[str]) -> None:
+    def _learn_letters(self, letters: list[str]) -> None:
         """Parts that are all letters are encoded many to a text: their last ids tell where each ends."""
-        letters = [p for p in parts if p.isalpha() and p.lower().isalpha()]
         for k in range(0, len(letters), 4096):
             some = letters[k : k + 4096]
             joined = [" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
             ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some):  # a part of several pieces: one by one below
-                continue
-            self.part.update(zip(some, range(len(self.part), len(self.part) + len(some))))
-            self.parts.extend(ids, np.diff(np.concatenate([[0], ends])))
-        rest = [p for p in parts if p not in self.part]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        self.part.update(zip(rest, range(len(self.part), len(self.part) + len(rest))))
+            if len(ends) == len(some):
+                self.part.update(zip(some, range(len(self.part), len(self.part) + len(some))))
+                self.parts.extend(ids, np.diff(np.concatenate([[0], ends])))
+            else:  # a part of several pieces: one by one
+                self._learn(some)
+
+    def _learn(self, parts: list[str]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.part.update(zip(parts, range(len(self.part), len(self.part) + len(parts))))
         self.parts.extend(np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
-    def _learn(self, words: list[bytes]) -> None:
-        split = []
-        for w in words:
-            word = w.decode()
-            stem = word.rstrip(SIGNS)
-            if stem.isalpha():
-                split += (stem.lower() if stem.isascii() else stem, word[len(stem) :])
-            else:
-                split += (word, "")
-        if new := set(split).difference(self.part):
-            self._learn_parts(new)
-        ids, size = self.parts.gather(np.fromiter(map(self.part.__getitem__, split), np.int64, len(split)))
-        self.words.extend(ids, size.reshape(-1, 2).sum(1))
+    def _rows(self, parts: pa.Array, learn: Callable[[list[str]], None]) -> np.ndarray:
+        """The row of each part; new ones are learnt first."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [p for p in names if p not in self.part]:
+            learn(new)
+        rows = np.fromiter(map(self.part.__getitem__, names), np.int64, len(names))
+        return rows[coded.indices.to_numpy()]
+
+    def _words(self, words: pa.Array) -> _Table:
+        """The ids of each word; letters and the signs behind them are looked up apart, any other word as it stands."""
+        stems, signs = pc.ascii_rtrim(words, options=self.signs), pc.utf8_ltrim(words, options=self.letters)
+        plain = pc.equal(pc.add(pc.binary_length(stems), pc.binary_length(signs)), pc.binary_length(words))
+        at = plain.to_numpy(zero_copy_only=False)
+        rows = np.zeros((len(words), 2), np.int64)
+        rows[at, 0] = self._rows(stems.filter(plain), self._learn_letters)
+        rows[at, 1] = self._rows(signs.filter(plain), self._learn)
+        rows[~at, 0] = self._rows(words.filter(pc.invert(plain)), self._learn)
+        ids, size = self.parts.gather(rows.ravel())
+        out = _Table()
+        out.extend(ids, size.reshape(-1, 2).sum(1))
+        return out
 
     def encode(self, texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text."""
-        # The tokenizer lowers letters itself, but not within its special strings.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = common.flat(split)
         if len(self.part) > CACHE_PARTS:
             self.clear()
-        elif len(self.row) > CACHE_WORDS:
-            self.forget_words()
-        rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
-        if self.row.new:
-            self._learn(self.row.new)
-            self.row.new = []
-        ids, size = self.words.gather(rows)
+        # The tokenizer lowers letters itself, but not within its special strings.
+        split = pc.ascii_split_whitespace(pa.array([t if b"<|" in t else t.lower() for t in texts], pa.string()))
+        words = split.flatten().dictionary_encode()
+        ids, size = self._words(words.dictionary).gather(words.indices.to_numpy() + 1)
         upto = np.concatenate([[0], np.cumsum(size)])
-        word_ends = np.cumsum([len(w) for w in split])
-        return ids, np.diff(upto[np.concatenate([[0], word_ends]).astype(np.int64)])
+        return ids, np.diff(upto[split.offsets.to_numpy()])
 
 
 def word_ids(path: str) -> WordIds:
@@ -165,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = 2) ->
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     common.prepare(docs.sparkSession)
-    return common.with_text(docs, common.doc_id()).mapInArrow(common.per_chunk(cut, common.CHUNK_BYTES // 2), PIECE)
+    return common.with_text(docs, common.doc_id()).mapInArrow(common.per_chunk(cut), PIECE)
 
 
 class Tournament:
