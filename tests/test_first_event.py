@@ -27,3 +27,8 @@ def both(spark, folder: Path, name: str, *kinds: str):
 def test_replayed_page(spark, tmp_path):
     got, want = both(spark, tmp_path, "replayed_page", "purchase", "signup", "purchase")
     assert got == want == []
+
+
+def test_projection_stopped(spark, tmp_path):
+    got, want = both(spark, tmp_path, "projection_stopped", "purchase", "signup", "purchase")
+    assert got == want == [(None, False, "state not found", 0, None)]
