@@ -112,33 +112,25 @@ class KafkaTopics:
 
 
 def relay_events(store: Store, publish: Callable[[DataFrame], None], topic: str, most: int = 10_000) -> int:
-    """One page of the event outbox: publish, then mark. Returns how many; what fails stays."""
-    page = store.snapshot().outbox(most).cache()
-    try:
-        n = page.count()
-        if n:
-            publish(event_messages(page, topic))  # in the page's order
-            store.mark_published(page.select("sequence_number"))
-        return n
-    finally:
-        page.unpersist()
+    """One page of the event outbox: publish, then mark. Returns how many; what fails stays. Each task writes its rows by position."""
+    page, n = store.snapshot().event_page(most)
+    if n:
+        publish(event_messages(page.sortWithinPartitions("sequence_number"), topic))
+        store.mark_published(page.select("sequence_number"))
+    return n
 
 
 def relay_messages(store: Store, publish: Callable[[DataFrame], None], most: int = 10_000) -> int:
-    """The message outbox, page after page while they are full."""
+    """The message outbox, page after page while they are full. Each task writes its rows by id."""
     total = 0
     while True:
-        page = store.snapshot().messages(most).cache()
-        try:
-            n = page.count()
-            if n:
-                publish(message_rows(page))
-                store.mark_sent(page.select("id"))
-            total += n
-            if n < most:
-                return total
-        finally:
-            page.unpersist()
+        page, n = store.snapshot().message_page(most)
+        if n:
+            publish(message_rows(page.sortWithinPartitions("id")))
+            store.mark_sent(page.select("id"))
+        total += n
+        if n < most:
+            return total
 
 
 def ingest_events(store: Store, rows: DataFrame) -> DataFrame:
