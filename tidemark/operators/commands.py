@@ -127,26 +127,42 @@ class CommandHandler:
             seen += [f(*args) for f, args in ((e.f, (state, event, command)), (e.when, (event, command))) if f is not None]
         return any("_command_" in str(c) for c in seen)
 
-    def _folded(self, units: DataFrame, history: DataFrame, longest: int | None) -> DataFrame:
-        """unit, folded, n, last (position) of units with events; histories longer than `longest` are folded by parts."""
+    @property
+    def _moving(self) -> list[str]:
+        """The types of events that move the state; of others only number and place count."""
+        return [n for e in self.evolves if e.f is not None for n in e.schema.names]
+
+    @property
+    def _looked_at(self) -> list[str]:
+        """The scopes whose tags an event is asked for."""
+        own = [s.name for s, _ in self.scopes]
+        asked = [e for e in self.evolves if e.f is not None and e.when is None and not e.all_events]
+        return sorted({n for e in asked for n in (own if e.within is None else [s.name for s in e.within])})
+
+    def _folded(self, units: DataFrame, hits: DataFrame, history: DataFrame, longest: int | None) -> DataFrame:
+        """unit, folded, n, last (position) of units with events; histories longer than `longest` are folded by parts.
+
+        hits: unit and sequence_number, at least of each row of history; history: the same and row, null for events that move nothing.
+        """
 
         def fold(rows: DataFrame, state: Column) -> DataFrame:
-            """rows: unit, history; and what state reads."""
+            """rows: what gathered() gives, and what state reads."""
             out = F.aggregate("history", state, lambda acc, r: self._step(acc, r, F.col("command"), F.col("tags")))
-            return rows.select("unit", out.alias("folded"), F.size("history").cast("long").alias("n"), F.element_at("history", -1)["sequence_number"].alias("last"))
+            return rows.select("unit", out.alias("folded"), "n", "last")
 
         def gathered(rows: DataFrame) -> DataFrame:
-            return rows.groupBy("unit").agg(F.array_sort(F.collect_list("row")).alias("history"))
+            return rows.groupBy("unit").agg(F.sort_array(F.collect_list("row")).alias("history"), F.count("*").alias("n"), F.max("sequence_number").alias("last"))
 
         first = F.coalesce(F.col("s_state"), self.initial(F.col("command")).cast(self.state))
+        one = units.hint("shuffle_hash")  # so that histories are not sorted to be joined
         if longest is None:
-            return fold(gathered(history).join(units, "unit"), first)
-        long_units = written(history.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > longest))
+            return fold(gathered(history).join(one, "unit"), first)
+        long_units = written(hits.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > longest))
         most = long_units.agg(F.max("n")).first()[0]
         if most is None:
-            return fold(gathered(history).join(units, "unit"), first)
-        short = fold(gathered(history.join(long_units, "unit", "left_anti")).join(units, "unit"), first)
-        nth = F.row_number().over(Window.partitionBy("unit").orderBy("row.sequence_number"))
+            return fold(gathered(history).join(one, "unit"), first)
+        short = fold(gathered(history.join(long_units, "unit", "left_anti")).join(one, "unit"), first)
+        nth = F.row_number().over(Window.partitionBy("unit").orderBy("sequence_number"))
         parts = written(history.join(long_units.select("unit"), "unit", "left_semi").withColumn("part", F.floor((nth - 1) / longest)))
         units = written(units.join(long_units.select("unit"), "unit", "left_semi"))
         carried = units.select("unit", first.alias("folded"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last"))
@@ -154,7 +170,7 @@ class CommandHandler:
             own = gathered(parts.where(F.col("part") == k)).join(units, "unit").join(carried.select("unit", F.col("folded").alias("_folded"), F.col("n").alias("_n")), "unit")
             now = fold(own, F.col("_folded")).join(carried.select("unit", F.col("n").alias("_n")), "unit").select("unit", "folded", (F.col("n") + F.col("_n")).alias("n"), "last")
             carried = written(now.unionByName(carried.join(now.select("unit"), "unit", "left_anti")))
-        return short.unionByName(carried)
+        return short.unionByName(carried.where("n > 0"))
 
     def evaluate(self, log: EventLog, commands: DataFrame, starts: DataFrame | None = None, longest: int | None = None) -> DataFrame:
         """commands (command_id, command struct) → command_id, command, tags, revision, events, state, rejection, emitted.
@@ -169,15 +185,22 @@ class CommandHandler:
             asked = asked.join(starts.select("command_id", F.col("state").alias("s_state"), F.col("position").alias("s_position"), F.col("events").alias("s_events")), "command_id", "left").fillna(0, ["s_position", "s_events"])
         # Commands that fold the same events the same way share one fold: those of one tag set and start, and if the fold looks at the command, of one content.
         by = ["tags", "s_state", "s_position"] + (["command"] if self.folds_by_command else [])
-        asked = asked.withColumn("unit", F.sha2(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}), 256))
-        units = asked.groupBy("unit").agg(*(F.first(c).alias(c) for c in ("tags", "s_state", "s_position", "command")))
-        hits = units.select("unit", "s_position", F.explode("tags").alias("tag")).join(log.index, "tag").where("sequence_number > s_position").select("unit", "sequence_number").distinct()
-        rows = log.rows.select("sequence_number", "event_type", F.col("tags").alias("event_tags"), F.from_json("payload", self.event).alias("event"))
-        if not self.all_event_types:
-            rows = rows.where(F.col("event_type").isin(*self.types))
-        row = F.struct("sequence_number", "event_type", F.col("event_tags").alias("tags"), "event")
-        history = hits.join(rows, "sequence_number").select("unit", row.alias("row"))
-        folded = self._folded(units, history, longest)
+        # Written, because what commands and starts are computed from is read once then.
+        asked = written(asked.withColumn("_by", F.sha2(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}), 256)))
+        units = written(asked.groupBy("_by").agg(*(F.first(c).alias(c) for c in ("tags", "s_state", "s_position", "command"))).withColumn("unit", F.monotonically_increasing_id()))
+        asked = asked.join(units.select("_by", "unit"), "_by").drop("_by")
+        units = units.drop("_by")
+        index = log.index.where(reduce(lambda a, s: a | F.startswith("tag", F.lit(f"{s.name}:")), [s for s, _ in self.scopes], F.lit(False)))
+        hits = units.select("unit", "s_position", F.explode("tags").alias("tag")).join(index, "tag").where("sequence_number > s_position").select("unit", "sequence_number").distinct()
+        hits = hits if longest is None else written(hits)
+        moving = F.col("event_type").isin(*self._moving)
+        looked_at = [f"{n}:" for n in self._looked_at]
+        tags = F.filter("tags", lambda t: reduce(lambda a, p: a | F.startswith(t, F.lit(p)), looked_at, F.lit(False)))
+        rows = log.rows if self.all_event_types else log.rows.where(F.col("event_type").isin(*self.types))
+        rows = rows.select("sequence_number", "event_type", F.when(moving, tags).alias("event_tags"), F.when(moving, F.col("payload")).alias("payload"))
+        row = F.when(moving, F.struct("sequence_number", "event_type", F.col("event_tags").alias("tags"), F.from_json("payload", self.event).alias("event")))
+        history = hits.join(rows, "sequence_number").select("unit", "sequence_number", row.alias("row"))
+        folded = self._folded(units, hits, history, longest)
         full = asked.join(folded, "unit", "left")
         start = F.coalesce(F.col("s_state"), self.initial(F.col("command")).cast(self.state))
         full = full.withColumn("state", F.when(F.col("n").isNull(), start).otherwise(F.col("folded")))
