@@ -203,7 +203,7 @@ def fold_columns(p: Projection, log: DataFrame, states: DataFrame | None = None,
 def _folded(p: Projection, keyed: DataFrame, before: DataFrame | None, acc: str) -> DataFrame:
     """key and acc of the keys in keyed; before: key and acc."""
     row = F.struct(*(c for c in keyed.columns if c != "key"))
-    per_key = keyed.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    per_key = keyed.groupBy("key").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     start = F.lit(None).cast(acc)
     if before is not None:
         per_key = per_key.join(before.select(F.col("key").alias("_key"), F.col("acc").alias("_acc")), F.col("key") == F.col("_key"), "left")
@@ -236,7 +236,7 @@ def fold_steps(p: Projection, log: DataFrame, states: DataFrame | None = None) -
     kind = T._parse_datatype_string(p.state).simpleString()
     acc = f"struct<state:{kind},error:string,group:bigint,position:bigint>"
     both = f"struct<acc:{acc},steps:array<struct<commit_group:bigint,sequence_number:bigint,state:{kind}>>>"
-    per_key = keyed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*(c for c in keyed.columns if c != "key")))).alias("rows"))
+    per_key = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(*(c for c in keyed.columns if c != "key")))).alias("rows"))
     before = F.lit(None).cast(p.state)
     if states is not None:
         per_key = per_key.join(states.select(F.col("key").alias("_key"), F.col("state").alias("_state")), F.col("key") == F.col("_key"), "left")
@@ -262,17 +262,21 @@ class FoldResult:
     error: str | None = None
 
 
-def project(p: Projection, log: DataFrame, states: DataFrame | None = None) -> FoldResult:
-    """Folds a page of the log. An event fails for all of its keys: everything before the first failing event is kept, nothing from it on."""
-    folded = fold_columns(p, log, states)
-    first = folded.where("error is not null").agg(F.min(F.struct("group", "position", "error")).alias("x")).first().x
+def project(p: Projection, log: DataFrame, states: DataFrame | None = None, end: ReadCursor | None = None) -> FoldResult:
+    """Folds a page of the log. An event fails for all of its keys: everything before the first failing event is kept, nothing from it on.
+
+    end: the place of the page's last event, if it is known. The states are a table.
+    """
     last = F.max(F.struct("commit_group", "sequence_number")).alias("x")
+    folded = written(fold_columns(p, log, states))
+    first = folded.where("error is not null").agg(F.min(F.struct("group", "position", "error")).alias("x")).first().x
     if first is None:
-        end = log.agg(last).first().x
-        return FoldResult(folded.select("key", "state"), ReadCursor(*end) if end else None)
+        if end is None and (x := log.agg(last).first().x):
+            end = ReadCursor(*x)
+        return FoldResult(folded.select("key", "state"), end)
     before = log.where((F.col("commit_group") < first.group) | ((F.col("commit_group") == first.group) & (F.col("sequence_number") < first.position)))
-    end = before.agg(last).first().x
-    return FoldResult(fold_columns(p, before, states).select("key", "state"), ReadCursor(*end) if end else None, first.error)
+    x = before.agg(last).first().x
+    return FoldResult(written(fold_columns(p, before, states)).select("key", "state"), ReadCursor(*x) if x else None, first.error)
 
 
 # --- sums --------------------------------------------------------------------

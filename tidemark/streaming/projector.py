@@ -40,6 +40,7 @@ class Projector:
     on_page: Callable[[DataFrame], None] | None = None
     on_event: Callable[[DataFrame], None] | None = None
     measured: dict[str, float] = field(default_factory=lambda: {"pages": 0, "events": 0, "seconds": 0.0, "conflicts": 0, "failures": 0})
+    _span: int | None = field(default=None, init=False, repr=False)
 
     @property
     def name(self) -> str:
@@ -65,27 +66,26 @@ class Projector:
         c = now.checkpoint(self.name)
         if not c.running:
             return False
-        read = now.log.read_for_projection(c.cursor, EventFilter.of(self.projection.seen), self.page)
-        events, began = read.events.cache(), time.monotonic()
+        began = time.monotonic()
         try:
-            n = events.count()
-            if not n:
+            page = now.log.page(c.cursor, EventFilter.of(self.projection.seen), self.page, self._span)
+            if not page.n:
                 return False
+            self._span = page.cursor.position - max(c.cursor.position, 0) if page.n == self.page else None
+            events = page.events
             try:
-                out = project(self.projection, events, now.state(self.name, self.schema))
-                states = out.states.cache()
+                out = project(self.projection, events, now.state(self.name, self.schema), page.cursor)
                 nxt = Checkpoint(self.name, out.cursor or c.cursor, out.error is None, out.error)
-                self.store.persist(self.name, self.schema, ("key",), states.where("state is not null"), states.where("state is null").select("key"), nxt, c.cursor)
+                self.store.persist(self.name, self.schema, ("key",), out.states.where("state is not null"), out.states.where("state is null").select("key"), nxt, c.cursor, unique=True)
                 if self.on_page:
-                    self.on_page(states)
+                    self.on_page(out.states)
                 if self.on_event:
                     up_to = F.struct("commit_group", "sequence_number") <= F.struct(F.lit(nxt.cursor.commit_group).alias("commit_group"), F.lit(nxt.cursor.position).alias("sequence_number"))
                     self.on_event(fold_steps(self.projection, events.where(up_to), now.state(self.name, self.schema)))
-                states.unpersist()
                 self.measured["pages"] += 1
-                self.measured["events"] += n
+                self.measured["events"] += page.n
                 self.measured["failures"] += out.error is not None
-                return n == self.page and out.error is None
+                return page.n == self.page and out.error is None
             except Conflict:
                 self.measured["conflicts"] += 1
                 return True
@@ -94,7 +94,6 @@ class Projector:
                 self.store.save_checkpoint(replace(c, running=False, error=traceback.format_exc()[-ERROR_CHARS:]))
                 return False
         finally:
-            events.unpersist()
             self.measured["seconds"] += time.monotonic() - began
 
     def run_pass(self) -> bool:
